@@ -24,6 +24,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,46 @@ from .store import drop, keep
 ROUNDS = 2
 NARROW = 32
 BLOCK = 512
+SLOT_BITS = 23
+
+
+class Slots:
+    """Which of 2**SLOT_BITS slots the keys of a table fall on: 1 MB, however many keys there are.
+
+    It goes before a join, to leave out most rows that have no partner while
+    they are still where they were read; the join then decides.
+    """
+
+    def __init__(self, keys: DataFrame, column: str) -> None:
+        at = F.col(column).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+        bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
+        words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("i")).agg(F.bit_or(bit).alias("w")).toArrow()
+        bits = np.zeros(1 << (SLOT_BITS - 6), np.int64)
+        bits[words["i"].to_numpy()] = words["w"].to_numpy()
+        self.told = keys.sparkSession.sparkContext.broadcast(bits)
+
+    def may_have(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & ((1 << SLOT_BITS) - 1)
+        return ((self.told.value[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+    def left_of(self, rows: DataFrame, column: str) -> DataFrame:
+        """The rows whose key (a long; null: all) may be there."""
+        number = rows.columns.index(column)
+        told = self.told
+
+        def run(batches):
+            for b in batches:
+                key = b.column(number)
+                at = key.fill_null(0).to_numpy() & ((1 << SLOT_BITS) - 1)
+                hit = ((told.value[at >> 6] >> (at & 63)) & 1).astype(bool)
+                if key.null_count:
+                    hit |= ~np.asarray(key.is_valid())
+                yield b.filter(pa.array(hit))
+
+        return rows.mapInArrow(run, rows.schema)
+
+    def __getstate__(self) -> dict:
+        return {"told": self.told}
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -63,18 +105,21 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def linked(buckets: DataFrame, fits: Callable, test: Callable[[DataFrame], DataFrame], test_blocks: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked(buckets: Callable[[Slots | None], DataFrame], fits: Callable, test: Callable[[DataFrame], DataFrame], test_blocks: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, comp) of all ids that have a link; others are alone.
 
-    buckets: (key, id, size), each id's buckets; ``fits(size, size)`` is a
-    condition on columns that every linked pair meets; ``test`` takes distinct
+    buckets(slots): (key, id, size), each id's buckets, of those keys alone
+    that slots may have; ``fits(size, size)`` is a condition on columns that
+    every linked pair meets; ``test`` takes distinct
     pairs (a, b) and returns those that are linked; ``test_blocks`` takes rows
     (key, left, right, id, comp), of which those that agree in key, left and
     right (about 2 * BLOCK) are to be compared wherever their comp differs, and
     returns links (a, b) that join what all their links would join.
     """
-    ends = buckets.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    shared = keep(buckets.join(ends.select("key", "n"), "key"), "buckets")
+    ends = buckets(None).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    ends = keep(ends.select("key", "n"), "keys")
+    shared = keep(buckets(Slots(ends, "key")).join(ends, "key"), "buckets")
+    drop(ends)
     tested, links, labels = None, None, None
     for k in range(ROUNDS):
         if not k:

@@ -111,8 +111,8 @@ def _regs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
-def bands(classes: DataFrame) -> DataFrame:
-    """(key, id, size): the bands of (id, size, regs)."""
+def bands(classes: DataFrame, slots: links.Slots | None = None) -> DataFrame:
+    """(key, id, size): the bands of (id, size, regs), of those keys that slots may have."""
 
     def run(batches):
         for b in batches:
@@ -122,8 +122,9 @@ def bands(classes: DataFrame) -> DataFrame:
                 key = np.tile(np.arange(BANDS, dtype=ts.U64), (len(regs), 1))
                 for j in range(ROWS):
                     key = key * ts.U64(ts._R) + regs[:, :, j]
-                many = lambda c: np.repeat(c.to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(ts.mix(key).ravel().view(np.int64)), pa.array(many(part.column(0))), pa.array(many(part.column(1)))], names=["key", "id", "size"])
+                key = ts.mix(key).ravel().view(np.int64)
+                own = np.flatnonzero(slots.may_have(key)) if slots else np.arange(len(key))
+                yield pa.RecordBatch.from_arrays([pa.array(key[own]), part.column(0).take(pa.array(own // BANDS)), part.column(1).take(pa.array(own // BANDS))], names=["key", "id", "size"])
 
     return classes.select("id", "size", "regs").mapInArrow(run, "key long, id long, size long")
 
@@ -144,6 +145,7 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose estimate is SURE or more."""
+    classes = links.Slots(ends(pairs), "id").left_of(classes.select("id", "regs"), "id")
     side = lambda k: classes.select(F.col("id").alias(k), F.col("regs").alias(f"regs_{k}"))
 
     def run(batches):
@@ -156,10 +158,19 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """(id) of both sides of pairs (a, b)."""
+    return pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+
+
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of docs (id, text) whose id is in ids."""
+    return keep(links.Slots(ids, "id").left_of(docs, "id").join(ids, "id", "left_semi"), "texts")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; docs has id and text."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = keep(docs.join(ids, "id", "left_semi"), "texts")
+    texts = texts_of(ends(pairs), docs)
     side = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
 
     def run(batches):
@@ -186,7 +197,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def confirmed_blocks(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """For `links.linked`: the whole sets of two blocks are intersected by products of 0/1 matrices."""
-    texts = keep(docs.join(rows.select("id").distinct(), "id", "left_semi"), "texts")
+    texts = texts_of(rows.select("id").distinct(), docs)
 
     def compare(table: pa.Table) -> pa.Table:
         ids, comps = table["id"].to_numpy(), table["comp"].to_numpy()
@@ -226,7 +237,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = keep(named.join(heads, sets).filter("doc_id = head").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "regs"), "classes")
     fits = lambda x, y: 100 * F.least(x, y) >= THRESHOLD * F.greatest(x, y)
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    groups = links.linked(bands(classes), fits, lambda pairs: confirmed(keep(near(pairs, classes), "near"), texts), lambda rows: confirmed_blocks(rows, texts))
+    groups = links.linked(lambda slots: bands(classes, slots), fits, lambda pairs: confirmed(keep(near(pairs, classes), "near"), texts), lambda rows: confirmed_blocks(rows, texts))
     heads = heads.join(groups, F.col("head") == F.col("id"), "left").select(*sets, F.coalesce("comp", "head").alias("comp"))
     heads = heads.withColumnsRenamed({x: f"h_{x}" for x in sets})
     same = [F.col(x) == F.col(f"h_{x}") for x in sets]
