@@ -41,10 +41,10 @@ def word_index(utts: DataFrame) -> DataFrame:
 
 
 def uniform_align(utts: DataFrame) -> DataFrame:
-    """(utt_id, pos, word, start, end): each word has an equal part of the duration."""
+    """(utt_id, pos, word, start, end): each word has an equal part of the duration; times to 6 places, halves up."""
     words = utts.select("utt_id", "duration", words_of(F.col("transcript")).alias("w"))
     each = words.select("utt_id", (F.col("duration") / F.size("w")).alias("part"), F.posexplode("w").alias("pos", "word"))
-    return each.select("utt_id", "pos", "word", F.round(F.col("pos") * F.col("part"), 6).alias("start"), F.round((F.col("pos") + 1) * F.col("part"), 6).alias("end"))
+    return each.select("utt_id", "pos", "word", F.round(F.col("pos") * F.col("part") + 1e-9, 6).alias("start"), F.round((F.col("pos") + 1) * F.col("part") + 1e-9, 6).alias("end"))
 
 
 def word_queries(utts: DataFrame, n_words: int = 200, least: int = 10, per_word: int = 10, shortest: float = 0.15, longest: float = 1.5, seed: int = 42) -> DataFrame:

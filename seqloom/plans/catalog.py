@@ -701,7 +701,7 @@ def sig_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pooled_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = stored(ap_by_bags(spark, sf_dir), "ap").join(query_languages(spark, sf_dir).withColumnRenamed("id", "query_id"), "query_id")
-    return signif.pooled(values, "smooth", "plain").select("lang", "n", "n_used", "w_plus", "w_minus", "statistic")
+    return signif.pooled(values, "smooth", "plain").select("lang", "n", F.coalesce("n_used", F.lit(0)).alias("n_used"), "w_plus", "w_minus", "statistic")
 
 
 # --- dense features ---

@@ -237,7 +237,7 @@ ORACLES: dict[str, str] = {
     "metric_gain": _p("SELECT round((ms - mp) / greatest(mp, 1e-9), 6) AS map_gain, round((ps - pp) / greatest(pp, 1e-9), 6) AS p1_gain FROM (SELECT round(avg(ap), 6) AS mp, round(avg(p1), 6) AS pp FROM pq), (SELECT round(avg(ap), 6) AS ms, round(avg(p1), 6) AS ps FROM pq_s)", _BOTH),
     "wilcoxon": _p("SELECT (SELECT count(*) FROM xy) AS n, coalesce(max(n_used), 0) AS n_used, coalesce(max(wp), 0) AS w_plus, coalesce(max(wm), 0) AS w_minus, coalesce(least(max(wp), max(wm)), 0) AS statistic FROM sums WHERE lang = 'all'", _BOTH, _PAIRS),
     "cohens_d": _p("SELECT count(*) AS n, round(avg(diff), 6) AS mean_diff, round(avg(diff) / (stddev_samp(diff) + 1e-12), 6) AS cohens_d FROM xy", _BOTH, _PAIRS),
-    "pooled_test": _p("SELECT lang, n, n_used, CASE WHEN n >= 10 THEN wp END AS w_plus, CASE WHEN n >= 10 THEN wm END AS w_minus, CASE WHEN n >= 10 THEN least(wp, wm) END AS statistic FROM (SELECT lang, count(*) AS n FROM tests GROUP BY lang) LEFT JOIN sums USING (lang)", _BOTH, _PAIRS),
+    "pooled_test": _p("SELECT lang, n, coalesce(n_used, 0) AS n_used, CASE WHEN n >= 10 THEN wp END AS w_plus, CASE WHEN n >= 10 THEN wm END AS w_minus, CASE WHEN n >= 10 THEN least(wp, wm) END AS statistic FROM (SELECT lang, count(*) AS n FROM tests GROUP BY lang) LEFT JOIN sums USING (lang)", _BOTH, _PAIRS),
     "best_config": _p(
         "SELECT model, config, map FROM rowz QUALIFY row_number() OVER (PARTITION BY model ORDER BY map DESC, config) = 1 UNION ALL SELECT 'all', config, map FROM (SELECT * FROM rowz ORDER BY map DESC, config LIMIT 1)",
         _BOTH,
@@ -249,10 +249,10 @@ ORACLES: dict[str, str] = {
         ", sc AS (SELECT f.query_id, f.doc_id, round(cos, 6) AS s, (r.doc_id IS NOT NULL)::INT AS tr FROM ful f LEFT JOIN (SELECT DISTINCT * FROM rel) r ON r.query_id = f.query_id AND r.doc_id = f.doc_id), span AS (SELECT query_id, min(s) AS lo, max(s) AS hi, sum(tr) AS n_true, count(*) AS n FROM sc GROUP BY query_id), cell AS (SELECT query_id, CASE WHEN hi > lo THEN floor(round((s - lo) / (hi - lo) * 299, 9)) ELSE 299 END AS step, sum(tr) AS t, sum(1 - tr) AS f FROM sc JOIN span USING (query_id) GROUP BY ALL)\n",
     ),
     "seed_mean_std": _p("SELECT count(*) AS n_seeds, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std FROM (" + " UNION ALL ".join(f"SELECT avg(ap) AS m FROM pq_{k} WHERE n_rel > 0" for k in (1, 2, 3)) + ")", *(_random(k) for k in (1, 2, 3))),
-    "uniform_align": f"WITH {_UTTS}, w AS (SELECT utt_id, round(size * 0.3, 3)::DOUBLE AS dur, {_WORDS.replace('text', 'transcript')} AS ws FROM utts) SELECT utt_id, i - 1 AS pos, ws[i] AS word, round((i - 1) * (dur / len(ws)), 6) AS start_s, round(i * (dur / len(ws)), 6) AS end_s FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)",
+    "uniform_align": f"WITH {_UTTS}, w AS (SELECT utt_id, round(size * 0.3, 3)::DOUBLE AS dur, {_WORDS.replace('text', 'transcript')} AS ws FROM utts) SELECT utt_id, i - 1 AS pos, ws[i] AS word, round((i - 1) * (dur / len(ws)) + 1e-9, 6) AS start_s, round(i * (dur / len(ws)) + 1e-9, 6) AS end_s FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w)",
     "build_word_queries": f"""WITH {_UTTS}, w AS (SELECT utt_id, round(size * 0.3, 3)::DOUBLE AS dur, {_WORDS.replace('text', 'transcript')} AS ws FROM utts),
 ix AS (SELECT DISTINCT utt_id, unnest(ws) AS word FROM w), dr AS (SELECT word FROM ix GROUP BY word HAVING count(*) >= 10 ORDER BY md5(concat_ws('_', word, '42')), word LIMIT 200),
 so AS (SELECT word, utt_id, row_number() OVER (PARTITION BY word ORDER BY md5(concat_ws('_', word, utt_id, '42')), utt_id) AS place FROM ix JOIN dr USING (word) QUALIFY place <= 10),
-sp AS (SELECT utt_id, i AS pos, ws[i] AS word, round((i - 1) * (dur / len(ws)), 6) AS b, round(i * (dur / len(ws)), 6) AS e FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w))
+sp AS (SELECT utt_id, i AS pos, ws[i] AS word, round((i - 1) * (dur / len(ws)) + 1e-9, 6) AS b, round(i * (dur / len(ws)) + 1e-9, 6) AS e FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM w))
 SELECT 'q_' || word || '_' || utt_id AS query_id, word, utt_id AS source_utt, b AS "start", e AS "end" FROM so JOIN sp USING (word, utt_id) WHERE e - b BETWEEN 0.15 AND 1.5 QUALIFY row_number() OVER (PARTITION BY word ORDER BY place, pos) = 1""",
 }
