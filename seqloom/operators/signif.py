@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAST = 10
 
@@ -42,7 +43,7 @@ def wilcoxon(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     x = base.join(sums, list(by), "left") if by else base.join(sums)
     x = x.withColumn("cohens_d", F.col("mean_diff") / (F.col("sd") + 1e-12)).withColumn("statistic", F.least("w_plus", "w_minus"))
     names = [*by, "n", "n_used", "w_plus", "w_minus", "statistic", "mean_diff", "cohens_d"]
-    kind = x.select(*names).schema
+    kind = T.StructType([T.StructField(f.name, f.dataType) for f in x.select(*names).schema])  # any may be null
     for c in ("p_two", "p_greater", "effect_r"):
         kind = kind.add(c, "double")
 

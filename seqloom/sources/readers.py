@@ -91,13 +91,13 @@ def read_relevance(spark: SparkSession, path: str) -> DataFrame:
 def resolve_ground_truth(query_ids: DataFrame, doc_ids: DataFrame, relevance: DataFrame) -> DataFrame:
     """(query_id, doc_id, key) for queries that a key of relevance names.
 
-    A key is a query's if it equals its id and has documents; else if its last
-    part after ``_`` does (of several, the last by name).  Documents that the
-    corpus lacks are dropped.
+    A key with documents is a query's if it equals its id; else if its last part
+    after ``_`` does (of several, the last by name).  Documents that the corpus
+    lacks are dropped.
     """
     keyed = relevance.filter("doc_id is not null").select(F.col("query_id").alias("key"), "doc_id")
-    keys = relevance.select(F.col("query_id").alias("key")).distinct()
-    exact = query_ids.join(keyed.select("key").distinct(), query_ids["query_id"] == F.col("key"), "left_semi")
+    keys = keyed.select("key").distinct()
+    exact = query_ids.join(keys, query_ids["query_id"] == F.col("key"), "left_semi")
     named = exact.select("query_id", F.col("query_id").alias("key"))
     last = keys.select(F.substring_index("key", "_", -1).alias("query_id"), "key").groupBy("query_id").agg(F.max("key").alias("key"))
     named = named.union(query_ids.join(exact, "query_id", "left_anti").join(last, "query_id").select("query_id", "key"))
