@@ -10,9 +10,10 @@ penalised; where the sample has too few such sentences, a mention is put at the
 end of others, and swapped there.  So a term carries weight only as far as all
 terms of its set do, and a neutral mention is not taken for an attack.
 
-Features are those that at least ``LEAST`` documents of the sample have, the
-``TOP`` with the largest difference between the classes, and those of the group
-terms.  Empty and null texts have the score of a text without features.  Labels
+Features are those that at least ``LEAST`` documents of the sample have and
+that tell the classes apart beyond chance: their likelihood ratio G is over
+``2 ln m`` for m such features, which chance alone passes about once (at most the
+``TOP`` largest), and those of the group terms.  Empty and null texts have the score of a text without features.  Labels
 without a document, null labels and null ids are ignored; of several labels of
 an id the largest holds.  Without any label the score is 0.5 for all.
 """
@@ -31,7 +32,7 @@ SAMPLE = 12_000
 PREFIXES = (3, 4, 5, 6, 8)
 LEAST = 4
 TOP = 8192
-RIDGE = 2e-4
+RIDGE = 5e-5
 FAIRNESS = 4.0
 MENTIONS = 400
 LIMIT = 0.7
@@ -119,6 +120,15 @@ def swaps(texts: list[str]) -> list[tuple[str, str]]:
     return pairs
 
 
+def likelihood_ratio(bad: np.ndarray, good: np.ndarray, all_bad: float, all_good: float) -> np.ndarray:
+    """G of each feature's table of presence by class."""
+    n, total = all_bad + all_good, np.zeros(len(bad))
+    for seen, row, column in ((bad, bad + good, all_bad), (good, bad + good, all_good), (all_bad - bad, n - bad - good, all_bad), (all_good - good, n - bad - good, all_good)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            total += np.where(seen > 0, 2 * seen * np.log(seen * n / (row * column)), 0)
+    return total
+
+
 def fit_texts(texts: list[str], toxic: list[int]) -> Model:
     """The model of a sample of texts and labels."""
     y = np.array(toxic, np.float64)
@@ -126,10 +136,9 @@ def fit_texts(texts: list[str], toxic: list[int]) -> Model:
     names, which = np.unique(hashes, return_inverse=True)
     with_it = np.bincount(which)
     bad = np.bincount(which, y[rows])
-    p, q = (bad + 0.5) / (y.sum() + 1), (with_it - bad + 0.5) / (len(y) - y.sum() + 1)
-    gain = np.abs(p - q) / np.sqrt((p + q) / 2)
     often = np.flatnonzero(with_it >= LEAST)
-    best = often[np.argsort(-gain[often], kind="stable")[:TOP]]
+    gain = likelihood_ratio(bad[often], with_it[often] - bad[often], y.sum(), len(y) - y.sum())
+    best = often[np.argsort(-gain, kind="stable")[: min(TOP, int((gain > 2 * np.log(max(len(often), 2))).sum()))]]
     terms = _of_texts([t for g in GROUPS for t in g])[1]
     model = Model(np.union1d(names[best], terms), np.zeros(0), 0.0)
     r, k = model.known(rows, hashes)
