@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ from pyspark.sql import DataFrame
 from . import textscan as ts
 from .scan import with_text_columns
 
-CACHE = 400_000
+CACHE = 300_000
+BATCH = 2 << 20  # bytes of text encoded at once: more of it repeats in longer pieces
 LETTER, NUMBER, SPACE, OTHER = range(4)
 #: The code points that count as white space in the pattern.
 WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -211,7 +213,7 @@ class Tokenizer:
         self.part_at = np.zeros(top + 1, np.int64)
         np.cumsum([len(p) for p in parts], out=self.part_at[1:])
         self.parts = np.frombuffer(b"".join(parts), np.uint8)
-        self.merged: dict[int, np.ndarray] = {}
+        self.merged: dict[int, bytes] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"merged": {}}
@@ -238,16 +240,16 @@ class Tokenizer:
             name = int(one[k])
             ids = cache.get(name)
             if ids is None:
-                ids = cache[name] = merge(raw[a[k] : b[k]], ranks)
+                ids = cache[name] = array("I", merge(raw[a[k] : b[k]], ranks)).tobytes()
             long[k] = ids
-            n[k] = len(ids)
+            n[k] = len(ids) // 4
         first = np.cumsum(n) - n
         flat = np.zeros(int(n.sum()), np.uint32)
         flat[first[known]] = self.table.ids[slot[known]]
         if long:
             where = np.flatnonzero(~known)
             size = n[where]
-            flat[np.repeat(first[where], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.concatenate([long[k] for k in where.tolist()]).astype(np.uint32)
+            flat[np.repeat(first[where], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.frombuffer(b"".join(long.values()), np.uint32)
         size = n[which]
         end = np.cumsum(size)
         out = flat[np.repeat(first[which] - (end - size), size) + np.arange(size.sum())]
@@ -300,7 +302,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", drop: tuple[str, ...]
 
         return of
 
-    return with_text_columns(docs, text, "ids binary", make, drop)
+    return with_text_columns(docs, text, "ids binary", make, drop, BATCH)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

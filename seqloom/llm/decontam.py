@@ -166,6 +166,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int
                         items = [x | set(y) for x, y in zip(items, get(piece, "items").to_pylist(), strict=True)]
                     arrays = [get(piece, n) for n in kept] + [pa.array(np.diff(row_at), pa.int64()), pa.array(bits, pa.binary()), pa.array([sorted(x) for x in items], arrow.field("items").type)]
                     yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *arrow.names])
+                ts.settle()
 
         return run
 

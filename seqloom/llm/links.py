@@ -6,9 +6,9 @@ pair of every bucket had been tested.
 
 A bucket may hold a third of all rows, so pairs are tested in steps:
 
-1. `ROUNDS` times every row is tested against one leader of each of its
-   buckets, another one each time.  That is one pair for each row and bucket,
-   and joins what is joined in nearly all real groups.
+1. Every row is tested against one leader of each of its buckets (`ROUNDS`
+   times, another leader each time).  That is one pair for each row and bucket,
+   and joins most of what is joined in real groups.
 2. Only buckets that still hold rows of different components are looked at
    again, and only pairs across components.  Buckets of up to `NARROW` rows
    give pairs, so at most `NARROW` for each row and bucket.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .store import drop, keep
 
-ROUNDS = 2
+ROUNDS = 1
 NARROW = 32
 BLOCK = 512
 SLOT_BITS = 23

@@ -125,6 +125,7 @@ def bands(classes: DataFrame, slots: links.Slots | None = None) -> DataFrame:
                 key = ts.mix(key).ravel().view(np.int64)
                 own = np.flatnonzero(slots.may_have(key)) if slots else np.arange(len(key))
                 yield pa.RecordBatch.from_arrays([pa.array(key[own]), part.column(0).take(pa.array(own // BANDS)), part.column(1).take(pa.array(own // BANDS))], names=["key", "id", "size"])
+            ts.settle()
 
     return classes.select("id", "size", "regs").mapInArrow(run, "key long, id long, size long")
 
@@ -154,6 +155,7 @@ def near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 part = b.slice(lo, 4096)
                 good = pa.array(estimate(_regs(part.column(2)), _regs(part.column(3))) >= SURE)
                 yield part.select([0, 1]).filter(good)
+            ts.settle()
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
 
@@ -191,6 +193,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 both = np.bincount(keys[0][0][hit], minlength=part.num_rows)
                 yield part.select([0, 1]).filter(pa.array(100 * both >= THRESHOLD * (counts[0] + counts[1] - both)))
                 lo = hi
+            ts.settle()
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
@@ -223,6 +226,7 @@ def confirmed_blocks(rows: DataFrame, docs: DataFrame) -> DataFrame:
         fit = np.triu(100 * both >= THRESHOLD * (size[:, None] + size[None, :] - both), 1) & (comps[:, None] != comps[None, :]) & (both > 0)
         forest = links.Forest(comps.tolist())
         new = [(min(x, y), max(x, y)) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(fit)), strict=True) if forest.join(comps[i], comps[j]) for x, y in [(int(ids[i]), int(ids[j]))]]
+        ts.settle()
         return pa.table({"a": pa.array([x for x, _ in new], pa.int64()), "b": pa.array([y for _, y in new], pa.int64())})
 
     return rows.join(texts, "id").select("key", "left", "right", "id", "comp", "text").groupBy("key", "left", "right").applyInArrow(compare, "a long, b long").distinct()

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .textscan import Chunk, chunks
+from .textscan import Chunk, chunks, settle
 
 
-def with_text_columns(df: DataFrame, text: str, fields: str | StructType, make: Callable[[], Callable[[Chunk], dict]], drop: tuple[str, ...] = ()) -> DataFrame:
+def with_text_columns(df: DataFrame, text: str, fields: str | StructType, make: Callable[[], Callable[[Chunk], dict]], drop: tuple[str, ...] = (), size: int | None = None) -> DataFrame:
     """df without ``drop``, and with ``fields`` that ``make()(chunk)`` gives as arrays.
 
     ``make`` is called once for each task.  A column of df that has the name of
@@ -29,11 +29,12 @@ def with_text_columns(df: DataFrame, text: str, fields: str | StructType, make:
         of = make()
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            for c in chunks(column):
+            for c in chunks(column, size):
                 got = of(c)
                 part = batch.slice(c.first, len(c))
                 arrays = [part.column(part.schema.get_field_index(n)) for n in kept_names]
                 arrays += [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept_names, *arrow.names])
+            settle()
 
     return df.mapInArrow(run, schema)

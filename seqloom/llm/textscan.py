@@ -12,13 +12,14 @@ Nulls are scanned as empty texts.  A chunk holds whole rows, at most
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)
@@ -35,6 +36,20 @@ LOWER[0x41:0x5B] += 32
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
+def settle() -> None:
+    """Gives memory that a batch has freed back to the system; workers that wait for the next task stay small."""
+    if not _settled:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            _settled.append(ctypes.CDLL(None).malloc_trim)
+        except (AttributeError, OSError):  # another C library
+            _settled.append(lambda _: None)
+    _settled[0](0)
+
+
+_settled: list = []
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """r**i and r**-i modulo 2**64, for i up to n."""
     if len(_powers[0]) <= n:
