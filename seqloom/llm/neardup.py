@@ -19,9 +19,9 @@ documents are linked if ``100 * |A & B| >= 75 * |A | B|``.
   are tested on their whole texts.
 * Groups are the connected components (see `links`).
 
-Null ids: no id can name them, so they are linked with nothing.  Rows that
-share an id are taken as one document that has several sets.  Empty tables give
-empty results; columns of the input that have the name of a computed one are
+Null ids: no id can name them, so they are linked with nothing, and kept.  Rows
+that share an id stand each by its own set (sets of which that id is the least
+are one node in links).  Empty tables give empty results; columns of the input that have the name of a computed one are
 replaced.
 """
 
