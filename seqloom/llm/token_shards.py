@@ -1,19 +1,22 @@
 """Training-order materialisation: token ids in fixed-stride binary shards.
 
 Every document becomes sequences of ``LENGTH`` token ids (the last is padded).
-Sequences are numbered without gaps by (text hash, id, place) classes: sums by
-a few thousand hash classes, which the driver sees, give each class its first
-number, and a window within a class the rest.  A Feistel network keyed by
+Sequences are stored once in the shared folder, and numbered without gaps by
+their places in that table, which no longer changes: the driver sees the row
+counts of its files, and a row's number is its file's first one plus its place
+in the file, so numbering moves no ids.  A Feistel network keyed by
 ``key`` permutes the numbers: it permutes the least power of four that holds
 them all, and walks the cycle until it falls below their count, so every
 sequence gets a slot of its own and every slot a sequence, from its number
 alone.
 
-Sequences are dealt by ranges of slots, one shard to a task, sorted, and
-written with a fixed stride: the record of slot s stands at byte
-``(s - first) * stride`` of its shard.  A reader that knows where it stopped
-goes on from there.  A shard is written under a name of the attempt and then
-renamed, so a task that is run again leaves the same shard.
+Sequences are dealt by ranges of slots, one shard to a task.  They travel as
+compressed blocks of the records that one batch has for a shard, and the task
+puts each record where it belongs: the record of slot s stands at byte
+``(s - first) * stride`` of its shard, so nothing is sorted and a task holds one
+shard.  A reader that knows where it stopped goes on from there.  A shard is
+written under a name of the attempt and then renamed, so a task that is run
+again leaves the same shard.
 
 A record: id (signed 64 bits), place of the sequence in the document and
 number of its tokens (unsigned 32 bits each), then LENGTH ids (unsigned 16 bits
@@ -38,11 +41,12 @@ from pyspark.sql import functions as F
 from .bpe import read_ranks
 from .store import drop, fresh, keep
 
-LENGTH = 512
+LENGTH = 256
 SHARD_BYTES = 32 << 20
-CLASSES = 4096
 KEY = 0x5EED_0F_0DE4
 ROUNDS = 6
+ZSTD = 6
+GATHER = 16 << 20  # bytes of records that are cut into blocks together
 HEAD = np.dtype([("doc_id", "<i8"), ("seq_no", "<u4"), ("n_tokens", "<u4")])
 
 
@@ -75,7 +79,7 @@ def _files(at: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 def sequences(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text_hash, seq_no, n_tokens, ids) of docs (doc_id, text); path: a rank file, read on the driver."""
+    """(doc_id, seq_no, n_tokens, ids) of docs (doc_id, text); path: a rank file, read on the driver."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
     kind = "<u2" if max(ranks.value.values()) < 1 << 16 else "<u4"
 
@@ -85,38 +89,47 @@ def sequences(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
 
         own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], []]
             held = 0
-            for doc, h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = np.array(own.encode_ordinary(text.as_py() or ""), kind)
                 for k in range(0, len(ids), length):
                     part = ids[k : k + length]
-                    for column, x in zip(out, (doc, h, k // length, len(part), part.tobytes()), strict=True):
+                    for column, x in zip(out, (doc, k // length, len(part), part.tobytes()), strict=True):
                         column.append(x)
                 held += ids.nbytes
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
-                    out, held = [[], [], [], [], []], 0
+                    out, held = [[], [], [], []], 0
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
-    names = ["doc_id", "text_hash", "seq_no", "n_tokens", "ids"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, seq_no int, n_tokens int, ids binary")
+    names = ["doc_id", "seq_no", "n_tokens", "ids"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, seq_no int, n_tokens int, ids binary")
 
 
 def numbered(seqs: DataFrame) -> tuple[DataFrame, int]:
-    """seqs with a number of their own from 0 on, and how many there are."""
-    spark = seqs.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "text_hash", "seq_no"), F.lit(CLASSES))
-    sizes = {r["part"]: r["n"] for r in seqs.select(part.alias("part")).groupBy("part").agg(F.count("*").alias("n")).collect()}
+    """The stored table seqs with a number of their own for its rows, from 0 on, and how many there are."""
+    where = F.element_at(F.split("_metadata.file_path", "/"), -1)
     rows, first = [], 0
-    for k in range(CLASSES):
-        rows.append((k, first))
-        first += sizes.get(k, 0)
-    starts = keep(spark.createDataFrame(rows, "part long, first long"), "starts")
-    rank = F.expr("row_number() over (partition by part order by doc_id, text_hash, seq_no)").cast("long")
-    out = seqs.withColumn("part", part).withColumn("rank", rank).join(starts, "part")
-    return out.withColumn("number", F.col("first") + F.col("rank") - 1).drop("part", "rank", "first"), first
+    for r in seqs.groupBy(where.alias("file")).agg(F.count("*").alias("n")).orderBy("file").collect():
+        rows.append((r["file"], first))
+        first += r["n"]
+    starts = keep(seqs.sparkSession.createDataFrame(rows, "file string, first long"), "starts")
+    placed = seqs.select(*seqs.columns, where.alias("file"), F.col("_metadata.row_index").alias("place"))
+    return placed.join(starts, "file").withColumn("number", F.col("first") + F.col("place")).drop("file", "place", "first"), first
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``rows`` rows each: longer blocks compress better."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
 
 
 def materialise(docs: DataFrame, path: str, into: str | None = None, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -124,7 +137,7 @@ def materialise(docs: DataFrame, path: str, into: str | None = None, length: int
     doc_id, seq_no, n_tokens, slot, shard, at (byte in the shard) and crc32 of the record."""
     spark = docs.sparkSession
     into = into or fresh(spark, "token-shards")
-    seqs = keep(sequences(docs, path, length), "sequences")
+    seqs = keep(sequences(docs, path, length), "sequences", compression="zstd", **{"parquet.compression.codec.zstd.level": str(ZSTD)})
     rows, count = numbered(seqs)
     wide = 2 if max(read_ranks(path).values()) < 1 << 16 else 4
     stride = HEAD.itemsize + wide * length
@@ -133,43 +146,62 @@ def materialise(docs: DataFrame, path: str, into: str | None = None, length: int
     files, folder = _files(into)
     files.create_dir(folder)
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            slot = feistel(b.column(5).to_numpy(), count, key)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), b.column(4), pa.array(slot)], names=[*b.schema.names[:5], "slot"])
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=ZSTD).compress
+        for b in gathered(batches, GATHER // stride):
+            if not b.num_rows:
+                continue
+            slot = feistel(b.column(4).to_numpy(), count, key)
+            records = np.zeros((b.num_rows, stride), np.uint8)
+            heads = np.zeros(b.num_rows, HEAD)
+            heads["doc_id"], heads["seq_no"], heads["n_tokens"] = b.column(0).fill_null(-1).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
+            records[:, : HEAD.itemsize] = heads.view(np.uint8).reshape(-1, HEAD.itemsize)
+            for row, ids in zip(records, b.column(3), strict=True):
+                held = ids.as_buffer()
+                row[HEAD.itemsize : HEAD.itemsize + held.size] = np.frombuffer(held, np.uint8)
+            order = np.argsort(slot, kind="stable")
+            shard, first = np.unique(slot[order] // per_shard, return_index=True)
+            parts = [slice(x, y) for x, y in zip(first.tolist(), [*first[1:].tolist(), len(slot)], strict=True)]
+            data = [squeeze(slot[order[p]].astype("<i8").tobytes() + records[order[p]].tobytes()) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(data, pa.binary())], names=["shard", "block"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
         import zlib
 
-        store, top = _files(into)
-        out, shard, name = None, -1, ""
+        import zstandard
 
-        def done() -> None:
-            if out is not None:
-                out.close()
-                store.move(name, f"{top}/shard-{shard:06d}.bin")
+        expand = zstandard.ZstdDecompressor().decompress
+        store, top = _files(into)
 
+        def done(shard: int, held: np.ndarray) -> pa.RecordBatch:
+            name = f"{top}/_shard-{shard:06d}-{uuid.uuid4().hex}"
+            with store.open_output_stream(name) as out:
+                out.write(held.tobytes())
+            store.move(name, f"{top}/shard-{shard:06d}.bin")
+            heads = np.ascontiguousarray(held[:, : HEAD.itemsize]).view(HEAD).ravel()
+            slot = shard * per_shard + np.arange(len(held))
+            crc = np.array([zlib.crc32(r) for r in held], np.int64)
+            columns = [heads["doc_id"].astype(np.int64), heads["seq_no"].astype(np.int32), heads["n_tokens"].astype(np.int32), slot, np.full(len(held), shard), np.arange(len(held)) * stride, crc]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "seq_no", "n_tokens", "slot", "shard", "at", "crc32"])
+
+        shard, held = -1, None
         for b in batches:
-            slot = b.column(5).to_numpy()
-            doc, seq, n = b.column(0).fill_null(-1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy()
-            where, at, crc = slot // per_shard, (slot % per_shard) * stride, np.zeros(len(slot), np.int64)
-            heads = np.zeros(len(slot), HEAD)
-            heads["doc_id"], heads["seq_no"], heads["n_tokens"] = doc, seq, n
-            for i, ids in enumerate(b.column(4)):
-                if where[i] != shard:
-                    done()
-                    shard = int(where[i])
-                    name = f"{top}/_shard-{shard:06d}-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(name)
-                record = heads[i].tobytes() + ids.as_py().ljust(wide * length, b"\0")
-                crc[i] = zlib.crc32(record)
-                out.write(record)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(5), pa.array(where), pa.array(at), pa.array(crc)], names=["doc_id", "seq_no", "n_tokens", "slot", "shard", "at", "crc32"])
-        done()
-
-    slotted = rows.select("doc_id", "text_hash", "seq_no", "n_tokens", "ids", "number").mapInArrow(slots, "doc_id long, text_hash long, seq_no int, n_tokens int, ids binary, slot long")
-    dealt = slotted.repartitionById(shards, F.expr(f"cast(slot div {per_shard} as int)")).sortWithinPartitions("slot")
+            for number, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if number != shard:
+                    if held is not None:
+                        yield done(shard, held)
+                    shard, held = number, np.zeros((min(per_shard, count - number * per_shard), stride), np.uint8)
+                raw = np.frombuffer(expand(block.as_buffer()), np.uint8)
+                n = len(raw) // (8 + stride)
+                held[raw[: 8 * n].view("<i8") - shard * per_shard] = raw[8 * n :].reshape(n, stride)
+        if held is not None:
+            yield done(shard, held)
+
+    packed = rows.select("doc_id", "seq_no", "n_tokens", "ids", "number").mapInArrow(blocks, "shard int, block binary")
+    dealt = packed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     index = keep(dealt.mapInArrow(write, "doc_id long, seq_no int, n_tokens int, slot long, shard long, at long, crc32 long"), "shard-index")
     drop(seqs)
     return index
