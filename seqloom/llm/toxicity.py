@@ -20,6 +20,8 @@ an id the largest holds.  Without any label the score is 0.5 for all.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +30,11 @@ from pyspark.sql import functions as F
 from . import textscan as ts
 from .scan import with_text_columns
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 PREFIXES = (3, 4, 5, 6, 8)
 LEAST = 4
 TOP = 8192
+TABLE_BITS = 24
 RIDGE = 5e-5
 FAIRNESS = 4.0
 MENTIONS = 400
@@ -66,17 +69,28 @@ def features(c: ts.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(all_rows), np.concatenate(hashes)
 
 
-def _of_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, hash) of a list of texts."""
-    rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, ts.U64)]
-    for c in ts.chunks(pa.array(texts, pa.string())):
+def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct (row, hash) of texts, a chunk at a time."""
+    for c in ts.chunks(texts):
         r, h = features(c)
         at = np.unique(ts.mix(h + r.astype(ts.U64) * ts.U64(ts._R)), return_index=True)[1]
-        rows.append(r[at] + c.first)
-        hashes.append(h[at])
+        yield r[at] + c.first, h[at]
+
+
+def _of_texts(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, hash) of texts; only those whose table cell is wanted, if given."""
+    rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, ts.U64)]
+    for r, h in _pieces(texts):
+        own = slice(None) if wanted is None else wanted[_cell(h)]
+        rows.append(r[own])
+        hashes.append(h[own])
     return np.concatenate(rows), np.concatenate(hashes)
 
 
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> ts.U64(64 - TABLE_BITS)).astype(np.int64)
+
+
 class Model:
     """Sorted feature hashes with their weights."""
 
@@ -129,22 +143,37 @@ def likelihood_ratio(bad: np.ndarray, good: np.ndarray, all_bad: float, all_good
     return total
 
 
-def fit_texts(texts: list[str], toxic: list[int]) -> Model:
-    """The model of a sample of texts and labels."""
-    y = np.array(toxic, np.float64)
-    rows, hashes = _of_texts(texts)
+def fit_texts(texts: pa.Array, toxic: np.ndarray) -> Model:
+    """The model of a sample of texts and labels.
+
+    The first of two passes counts features in a table of 2**TABLE_BITS cells;
+    the second keeps those of cells that may tell the classes apart, and counts
+    them exactly.  So memory is that of the table, not of all features.
+    """
+    y = np.asarray(toxic, np.float64)
+    kind = np.uint16 if len(y) < 1 << 16 else np.uint32
+    seen, seen_bad = np.zeros(1 << TABLE_BITS, kind), np.zeros(1 << TABLE_BITS, kind)
+    for r, h in _pieces(texts):
+        np.add.at(seen, _cell(h), 1)
+        np.add.at(seen_bad, _cell(h[y[r] > 0]), 1)
+    often = np.flatnonzero(seen >= LEAST)
+    chance = 2 * np.log(max(len(often), 2))
+    found = likelihood_ratio(seen_bad[often].astype(float), seen[often] - seen_bad[often].astype(float), y.sum(), len(y) - y.sum())
+    wanted = np.zeros(1 << TABLE_BITS, bool)
+    wanted[often[found > chance / 2]] = True
+    terms = _of_texts(pa.array([t for g in GROUPS for t in g]))[1]
+    wanted[_cell(terms)] = True
+    rows, hashes = _of_texts(texts, wanted)
     names, which = np.unique(hashes, return_inverse=True)
-    with_it = np.bincount(which)
-    bad = np.bincount(which, y[rows])
-    often = np.flatnonzero(with_it >= LEAST)
-    gain = likelihood_ratio(bad[often], with_it[often] - bad[often], y.sum(), len(y) - y.sum())
-    best = often[np.argsort(-gain, kind="stable")[: min(TOP, int((gain > 2 * np.log(max(len(often), 2))).sum()))]]
-    terms = _of_texts([t for g in GROUPS for t in g])[1]
+    with_it = np.bincount(which, minlength=len(names))
+    bad = np.bincount(which, y[rows], minlength=len(names))
+    gain = np.where(with_it >= LEAST, likelihood_ratio(bad, with_it - bad, y.sum(), len(y) - y.sum()), 0)
+    best = np.argsort(-gain, kind="stable")[: min(TOP, int((gain > chance).sum()))]
     model = Model(np.union1d(names[best], terms), np.zeros(0), 0.0)
     r, k = model.known(rows, hashes)
     n = len(model.names)
-    pairs = swaps(texts)
-    (ra, ka), (rb, kb) = (model.known(*_of_texts([x[i] for x in pairs])) for i in (0, 1))
+    pairs = swaps(texts.to_pylist())
+    (ra, ka), (rb, kb) = (model.known(*_of_texts(pa.array([x[i] for x in pairs], pa.string()))) for i in (0, 1))
     dr, dk, ds = np.concatenate([ra, rb]), np.concatenate([ka, kb]), np.concatenate([np.ones(len(ra)), -np.ones(len(rb))])
 
     rate = min(max(y.mean(), 1e-4), 1 - 1e-4)
@@ -180,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(np.zeros(0, ts.U64), np.zeros(0), 0.0)
     rows = docs.filter(F.xxhash64("doc_id") <= last).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id").select("doc_id", "text", "toxic").toArrow()
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")]).slice(0, sample)
-    return fit_texts(rows["text"].to_pylist(), rows["toxic"].to_pylist())
+    return fit_texts(rows["text"].combine_chunks(), rows["toxic"].to_numpy())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
