@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .store import modest
 from .textscan import Chunk, chunks, settle
 
 
@@ -18,6 +19,7 @@ def with_text_columns(df: DataFrame, text: str, fields: str | StructType, make:
     ``make`` is called once for each task.  A column of df that has the name of
     a new one is replaced.  Null texts are scanned as empty ones.
     """
+    modest(df.sparkSession)
     new = StructType.fromDDL(fields) if isinstance(fields, str) else fields
     gone = {*new.names, *drop}
     kept = [f for f in df.schema.fields if f.name not in gone]
