@@ -292,6 +292,14 @@ def test_line_dedup_on_odd_rows(spark, odd):
     assert out.columns == odd.columns and line_dedup.dedup(odd.filter("false")).count() == 0
 
 
+def test_lost_lines_are_those_of_a_row(spark):
+    """Rows that share an id, or have none, lose their own lines alone."""
+    a, b, c = "one common line of seven words here", "these words are found in one row", "nothing else in this table says so"
+    rows = [(1, a), (7, f"{a}\n{b}"), (7, f"{c}\n{a}"), (None, f"first of all rows comes this line\n{c}"), (None, "the only line of a clean row")]
+    left = line_dedup.dedup(documents(spark, [(i, t, "en") for i, t in rows])).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == [(0, f"first of all rows comes this line\n{c}"), (0, "the only line of a clean row"), (1, a), (7, b)]
+
+
 def test_sharding(spark, odd):
     docs = documents(spark, [(i, "x" * (i * 37 % 900), "en") for i in range(3000)]).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars").filter("n_chars < 1000 or n_chars is null"))
     got = sharding.shard(docs).collect()
