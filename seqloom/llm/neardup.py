@@ -20,8 +20,8 @@ documents are linked if ``100 * |A & B| >= 75 * |A | B|``.
 * Groups are the connected components (see `links`).
 
 Null ids: no id can name them, so they are linked with nothing, and kept.  Rows
-that share an id stand each by its own set (sets of which that id is the least
-are one node in links).  Empty tables give empty results; columns of the input that have the name of a computed one are
+that share an id stand each by its own set; a row is told by its id and a
+64-bit hash of its text.  Empty tables give empty results; columns of the input that have the name of a computed one are
 replaced.
 """
 
@@ -166,13 +166,13 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 
 def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """The rows of docs (id, text) whose id is in ids."""
-    return keep(links.Slots(ids, "id").left_of(docs, "id").join(ids, "id", "left_semi"), "texts")
+    """The rows of docs (id, doc_id, text) that stand for an id of ids: `id` is the text's hash, doc_id tells copies apart."""
+    return keep(links.Slots(ids, "id").left_of(docs, "id").join(ids, ["id", "doc_id"], "left_semi").select("id", "text"), "texts")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough; docs has id and text."""
-    texts = texts_of(ends(pairs), docs)
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough; docs has id, doc_id and text."""
+    texts = texts_of(classes.select("id", "doc_id").join(ends(pairs), "id", "left_semi"), docs)
     side = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"text_{k}"))
 
     def run(batches):
@@ -198,9 +198,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed_blocks(rows: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed_blocks(rows: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """For `links.linked`: the whole sets of two blocks are intersected by products of 0/1 matrices."""
-    texts = texts_of(rows.select("id").distinct(), docs)
+    texts = texts_of(classes.select("id", "doc_id").join(rows.select("id").distinct(), "id", "left_semi"), docs)
 
     def compare(table: pa.Table) -> pa.Table:
         ids, comps = table["id"].to_numpy(), table["comp"].to_numpy()
@@ -232,35 +232,55 @@ def confirmed_blocks(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.join(texts, "id").select("key", "left", "right", "id", "comp", "text").groupBy("key", "left", "right").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
-    table = keep(sketches(docs.select("doc_id", "text"), drop=("text",)), "sketches")
+def told(docs: DataFrame) -> DataFrame:
+    """docs with text_hash, which with doc_id tells a row."""
+    return docs.withColumn("text_hash", F.xxhash64("text"))
+
+
+def marked(docs: DataFrame) -> DataFrame:
+    """The rows of `near_duplicates`, with text_hash."""
+    table = keep(sketches(told(docs.select("doc_id", "text")), drop=("text",)), "sketches")
     sets = ["n_shingles", "set_one", "set_two"]
     named = table.filter("n_shingles > 0 and doc_id is not null")
-    heads = named.groupBy(*sets).agg(F.min("doc_id").alias("head"))
-    classes = keep(named.join(heads, sets).filter("doc_id = head").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "regs"), "classes")
+    # of equal sets one row is the node: the least, named by its text's hash, as an id may have several sets
+    heads = named.groupBy(*sets).agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
+    own = F.struct("doc_id", "text_hash") == F.col("head")
+    classes = keep(named.join(heads, sets).filter(own).select(F.col("text_hash").alias("id"), "doc_id", F.col("n_shingles").alias("size"), "regs"), "classes")
     fits = lambda x, y: 100 * F.least(x, y) >= THRESHOLD * F.greatest(x, y)
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    groups = links.linked(lambda slots: bands(classes, slots), fits, lambda pairs: confirmed(keep(near(pairs, classes), "near"), texts), lambda rows: confirmed_blocks(rows, texts))
-    heads = heads.join(groups, F.col("head") == F.col("id"), "left").select(*sets, F.coalesce("comp", "head").alias("comp"))
+    texts = told(docs.select("doc_id", "text")).select(F.col("text_hash").alias("id"), "doc_id", "text")
+    groups = links.linked(lambda slots: bands(classes, slots), fits, lambda pairs: confirmed(keep(near(pairs, classes), "near"), texts, classes), lambda rows: confirmed_blocks(rows, texts, classes))
+    # the least row of each component of several nodes
+    linked = keep(heads.join(groups, F.col("head.text_hash") == F.col("id")).select(*sets, "head", "comp"), "linked")
+    linked = linked.join(linked.groupBy("comp").agg(F.min("head").alias("least")), "comp").select(*sets, "least")
+    heads = heads.join(linked, sets, "left").select(*sets, F.coalesce("least", "head").alias("least"))
     heads = heads.withColumnsRenamed({x: f"h_{x}" for x in sets})
-    same = [F.col(x) == F.col(f"h_{x}") for x in sets]
-    labelled = table.drop("regs").join(heads, same, "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")))
-    return labelled.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    same = [F.col("doc_id").isNotNull(), *(F.col(x) == F.col(f"h_{x}") for x in sets)]
+    labelled = table.drop("regs").join(heads, same, "left").withColumn("component_id", F.coalesce("least.doc_id", "doc_id"))
+    return labelled.select("doc_id", "text_hash", "n_shingles", "component_id", F.coalesce(F.struct("doc_id", "text_hash") == F.col("least"), F.lit(True)).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
+
+    component_id: the least id of the row's component; kept: true for the least
+    row of each component (by id, then by a hash of the text).
+    """
+    return marked(docs).drop("text_hash")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group: the rows whose id is the group's least.
+    """docs with one row of each group: the least by id, then by a hash of its text.
 
-    Of rows that share that id one stays, the least by text; rows without an id
-    stay.  Documents without shingles are in no group, and stay unless their id
-    is another's.
+    Rows that share an id fall only if their own set's group has another row.
+    Of rows that agree in id and text one stays; rows without an id stay.
     """
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    twice = keep(left.join(again, "doc_id", "left_semi"), "twice")
-    once = left.join(again, "doc_id", "left_anti")
+    rows = told(docs.drop("text_hash"))
+    key = ["doc_id", "text_hash"]
+    gone = marked(docs).filter("not kept").select(*key).distinct()
+    left = rows.join(gone, key, "left_anti")
+    again = rows.filter("doc_id is not null").groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
+    twice = left.join(again, key, "left_semi")
+    once = left.join(again, key, "left_anti")
     names = [f"`{n}`" for n in docs.columns]
-    one = twice.withColumn("rank_of_id", F.expr("row_number() over (partition by doc_id order by text)")).filter("rank_of_id = 1")
+    one = twice.groupBy(*key).agg(F.min(F.struct(*(n for n in names if n != "`text_hash`"))).alias("one")).select("one.*")
     return once.select(*names).union(one.select(*names))

@@ -159,6 +159,16 @@ def test_near_duplicates_on_odd_rows(spark, odd):
     assert neardup.near_duplicates(odd.filter("false")).count() == 0
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    """Unrelated texts of one id stay; equal, linked and repeated ones fall, each by its own set."""
+    rng = random.Random(5)
+    a, b, c, d = (" ".join(f"w{rng.randrange(9999)}" for _ in range(40)) for _ in range(4))
+    rows = [(5, a), (5, b), (5, c), (5, c), (5, c + " x"), (1, f"{a} y"), (9, f"{b} z"), (7, d), (8, f"{d} v"), (7, b), (None, a), (None, a)]
+    left = [(r["doc_id"], r["text"]) for r in neardup.dedup(documents(spark, [(i, t, "en") for i, t in rows])).collect()]
+    assert sum(r[1] in (c, c + " x") for r in left) == 1
+    assert sorted((i or 0, t) for i, t in left if t not in (c, c + " x")) == sorted([(5, b), (1, f"{a} y"), (7, d), (0, a), (0, a)])
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["id"]: r["comp"] for r in links.components(spark.createDataFrame(edges, "a long, b long")).collect()}
