@@ -310,6 +310,12 @@ def test_lost_lines_are_those_of_a_row(spark):
     assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == [(0, f"first of all rows comes this line\n{c}"), (0, "the only line of a clean row"), (1, a), (7, b)]
 
 
+def test_short_lines_and_lines_without_blanks_are_grouped(spark):
+    rows = [(1, "All rights reserved\n这是一个没有空格的句子"), (2, "all rights reserved.\n这是一个没有空格的句子\nyes"), (3, "Yes!\n---")]
+    got = {(r["doc_id"], r["line_no"]): r["kept"] for r in line_dedup.groups(documents(spark, [(i, t, "en") for i, t in rows])).collect()}
+    assert got == {(1, 0): True, (1, 1): True, (2, 0): False, (2, 1): False, (2, 2): True, (3, 0): False}
+
+
 def test_sharding(spark, odd):
     docs = documents(spark, [(i, "x" * (i * 37 % 900), "en") for i in range(3000)]).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars").filter("n_chars < 1000 or n_chars is null"))
     got = sharding.shard(docs).collect()
