@@ -316,6 +316,22 @@ def test_short_lines_and_lines_without_blanks_are_grouped(spark):
     assert got == {(1, 0): True, (1, 1): True, (2, 0): False, (2, 1): False, (2, 2): True, (3, 0): False}
 
 
+def test_one_letter_more_is_found_in_lines_of_all_lengths(spark):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))
+    rows, sizes = [], {i: (3, 8, 15, 40, 120)[i % 5] for i in range(300)}
+    for i, n in sizes.items():
+        line = " ".join(word() for _ in range(n))
+        at = rng.randrange(1, len(line))
+        rows += [(i, line), (1000 + i, line[:at] + "q" + line[at:])]
+    rows += [(2000, "这是一个没有空格的句子而且它相当长"), (2001, "这是一个没有空格的句子而且它相当长了")]
+    got = {r["doc_id"]: r["group_id"] for r in line_dedup.groups(documents(spark, [(i, t, "en") for i, t in rows])).collect()}
+    assert got[2000] == got[2001]
+    for n in (3, 8, 15, 40, 120):
+        own = [i for i in sizes if sizes[i] == n and line_dedup.edit_similar(*(dict(rows)[k].encode() for k in (i, 1000 + i)))]
+        assert sum(got[i] == got[1000 + i] for i in own) >= 0.9 * len(own) > 40
+
+
 def test_sharding(spark, odd):
     docs = documents(spark, [(i, "x" * (i * 37 % 900), "en") for i in range(3000)]).unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars").filter("n_chars < 1000 or n_chars is null"))
     got = sharding.shard(docs).collect()
