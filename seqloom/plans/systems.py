@@ -190,7 +190,7 @@ def sweep(docs: DataFrame, queries: DataFrame, relevance: DataFrame, configs: tu
 
 
 def by_language(docs: DataFrame, queries: DataFrame, relevance: DataFrame, languages: list[str], configs: tuple[Config, ...] = COMPARED, dialect: metrics.Dialect = metrics.STRICT) -> DataFrame:
-    """`sweep` within each language of docs and queries (lang, id, tokens); one that fails is left out and reported.
+    """`sweep` within each language of docs and queries (lang, id, tokens); if some fail, the others are done first, then an error names them.
 
     The languages are a stated list; each has statistics of its own.
     """
@@ -204,7 +204,7 @@ def by_language(docs: DataFrame, queries: DataFrame, relevance: DataFrame, langu
             failed.append(f"{lang}: {type(e).__name__}")
             continue
         out = one if out is None else out.unionByName(one)
-    if out is None:
+    if failed or out is None:
         raise ValueError("; ".join(failed) or "no language")
     return out
 

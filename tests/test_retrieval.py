@@ -281,3 +281,22 @@ def test_quantisation(spark):
 
     got = {(r["utt_id"], r["frame_no"]): (r["embedding"], r["error"]) for r in dense.extract(files, encoder).collect()}
     assert got == {("u1", 0): ([1.0], None), ("u1", 1): ([2.0], None), ("bad", None): (None, "ValueError: empty")}
+
+
+def test_a_language_that_fails_is_named(spark, monkeypatch):
+    from seqloom.plans import systems
+
+    done = []
+
+    def sweep(d, q, *_):
+        done.append(1)
+        if len(done) == 1:
+            raise MemoryError
+        return q
+
+    monkeypatch.setattr(systems, "sweep", sweep)
+    monkeypatch.setattr(systems, "stored", lambda df, name: df)
+    docs = spark.createDataFrame([], "lang string, id long, tokens array<bigint>")
+    with pytest.raises(ValueError, match="de: MemoryError"):
+        systems.by_language(docs, docs, spark.createDataFrame([], "query_id long, doc_id long"), ["de", "en"])
+    assert len(done) == 2
