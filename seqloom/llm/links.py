@@ -6,15 +6,16 @@ pair of every bucket had been tested.
 
 A bucket may hold a third of all rows, so pairs are tested in steps:
 
-1. Every row is tested against one leader of each of its buckets (`ROUNDS`
-   times, another leader each time).  That is one pair for each row and bucket,
-   and joins most of what is joined in real groups.
+1. Every row is tested against one leader of each of its buckets.  That is one
+   pair for each row and bucket, and joins most of what is joined in real groups.
 2. Only buckets that still hold rows of different components are looked at
    again, and only pairs across components.  Buckets of up to `NARROW` rows
    give pairs, so at most `NARROW` for each row and bucket.
-3. Larger ones are cut into blocks of about `BLOCK` rows; two blocks at a time
-   go to one task, which compares them as a whole and returns a spanning forest
-   of the links it found: never more links than rows.
+3. In larger ones, the rows outside the bucket's largest component are cut into
+   blocks of about `BLOCK` rows, and so are the others; each of the former meets
+   each of the latter, and of its own kind, in one task, which compares the two
+   as a whole and returns a spanning forest of the links it found: never more
+   links than rows.  So one stray in a bucket of n rows costs n rows, not n * n.
 
 A leader is an aggregate with partial sums on the map side, and is joined to
 the bucket's rows by a join that Spark may split where a key is hot.
@@ -26,54 +27,55 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import drop, keep
 
-ROUNDS = 1
 NARROW = 32
 BLOCK = 512
-SLOT_BITS = 23
+SLOTS_A_KEY = 8
+LEAST_BITS, MOST_BITS = 16, 27
 
 
 class Slots:
-    """Which of 2**SLOT_BITS slots the keys of a table fall on: 1 MB, however many keys there are.
+    """Which slots the keys of a table fall on: SLOTS_A_KEY for each key, and 2**MOST_BITS (16 MB) at most.
 
     It goes before a join, to leave out most rows that have no partner while
-    they are still where they were read; the join then decides.
+    they are still where they were read; the join then decides.  Beyond the
+    bound it leaves out fewer, and the join has more to do.
     """
 
     def __init__(self, keys: DataFrame, column: str) -> None:
-        at = F.col(column).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+        wanted = max(1, SLOTS_A_KEY * keys.count()).bit_length()
+        self.bits = min(max(wanted, LEAST_BITS), MOST_BITS)
+        at = F.col(column).bitwiseAND(F.lit((1 << self.bits) - 1))
         bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
         words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("i")).agg(F.bit_or(bit).alias("w")).toArrow()
-        bits = np.zeros(1 << (SLOT_BITS - 6), np.int64)
+        bits = np.zeros(1 << (self.bits - 6), np.int64)
         bits[words["i"].to_numpy()] = words["w"].to_numpy()
         self.told = keys.sparkSession.sparkContext.broadcast(bits)
 
     def may_have(self, keys: np.ndarray) -> np.ndarray:
-        at = keys & ((1 << SLOT_BITS) - 1)
+        at = keys & ((1 << self.bits) - 1)
         return ((self.told.value[at >> 6] >> (at & 63)) & 1).astype(bool)
 
-    def left_of(self, rows: DataFrame, column: str) -> DataFrame:
-        """The rows whose key (a long; null: all) may be there."""
+    def left_of(self, rows: DataFrame, column: str, there: bool = True) -> DataFrame:
+        """The rows whose key (a long; null: all) may be there; or, if not ``there``, the rows whose key is not."""
         number = rows.columns.index(column)
-        told = self.told
 
         def run(batches):
             for b in batches:
                 key = b.column(number)
-                at = key.fill_null(0).to_numpy() & ((1 << SLOT_BITS) - 1)
-                hit = ((told.value[at >> 6] >> (at & 63)) & 1).astype(bool)
+                hit = self.may_have(key.fill_null(0).to_numpy())
                 if key.null_count:
                     hit |= ~np.asarray(key.is_valid())
-                yield b.filter(pa.array(hit))
+                yield b.filter(pa.array(hit == there))
 
         return rows.mapInArrow(run, rows.schema)
 
     def __getstate__(self) -> dict:
-        return {"told": self.told}
+        return {"told": self.told, "bits": self.bits}
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -99,20 +101,47 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return rows.withColumn("comp", F.col("id"))
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def linked(buckets: Callable[[Slots | None], DataFrame], fits: Callable, test: Callable[[DataFrame], DataFrame], test_blocks: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def dealt(wide: DataFrame) -> DataFrame:
+    """Rows (key, id, comp, ...) of wide buckets as (key, left, right, id, comp, ...): the blocks that are to meet.
+
+    Blocks of the largest component have numbers below 0.
+    """
+    each = wide.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    most = each.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("n"))
+    cut = lambda n: F.ceil(n / BLOCK).cast("long")
+    few, many = cut(F.col("n") - F.col("most.k")), cut(F.col("most.k"))
+    sized = wide.drop("n").join(most.select("key", F.col("most.comp").alias("top"), few.alias("few"), many.alias("many")), "key")
+    rest = [c for c in wide.columns if c not in ("key", "n")]
+    strays = sized.filter(F.col("comp") != F.col("top")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("few")))
+    strays = strays.withColumn("other", F.explode(F.sequence(-F.col("many"), F.col("few") - 1)))
+    crowd = sized.filter(F.col("comp") == F.col("top")).withColumn("own", -1 - F.pmod(F.xxhash64("id"), F.col("many")))
+    crowd = crowd.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few") - 1)))
+    return strays.union(crowd).select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), *rest)
+
+
+Attributes = Callable[[str], Column]
+
+
+def linked(
+    buckets: Callable[[Slots | None], DataFrame],
+    fits: Callable[[Attributes, Attributes], Column],
+    test: Callable[[DataFrame], DataFrame],
+    test_blocks: Callable[[DataFrame], DataFrame],
+    prepare: Callable[[DataFrame], None] = lambda ids: None,
+) -> DataFrame:
     """(id, comp) of all ids that have a link; others are alone.
 
-    buckets(slots): (key, id, size), each id's buckets, of those keys alone
-    that slots may have; ``fits(size, size)`` is a condition on columns that
-    every linked pair meets; ``test`` takes distinct
-    pairs (a, b) and returns those that are linked; ``test_blocks`` takes rows
-    (key, left, right, id, comp), of which those that agree in key, left and
+    buckets(slots): (key, id, attributes...), each id's buckets, of those keys
+    alone that slots may have (None: all keys, attributes are not looked at);
+    ``fits(one, other)`` is a condition that every linked pair meets, on
+    attributes named ``one(name)`` and ``other(name)``; ``prepare`` gets the ids
+    that share a bucket, before any test; ``test`` takes distinct pairs (a, b)
+    and returns those that are linked; ``test_blocks`` takes rows (key, left,
+    right, id, attributes..., comp), of which those that agree in key, left and
     right (about 2 * BLOCK) are to be compared wherever their comp differs, and
     returns links (a, b) that join what all their links would join.
     """
@@ -120,46 +149,31 @@ def linked(buckets: Callable[[Slots | None], DataFrame], fits: Callable, test: C
     ends = keep(ends.select("key", "n"), "keys")
     shared = keep(buckets(Slots(ends, "key")).join(ends, "key"), "buckets")
     drop(ends)
-    tested, links, labels = None, None, None
-    for k in range(ROUNDS):
-        if not k:
-            now = shared.select("key", "id", "size", F.col("id").alias("comp"))
-        else:
-            now = _labelled(shared.select("key", "id", "size"), labels)
-            mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-            now = keep(now.join(mixed.select("key"), "key"), "mixed")
-        first = (lambda c: c) if not k else (lambda c, k=k: F.xxhash64(c, F.lit(k)))
-        lead = now.groupBy("key").agg(F.min(F.struct(first(F.col("id")).alias("o"), F.col("id").alias("id"), F.col("size").alias("size"), F.col("comp").alias("comp"))).alias("lead"))
-        pairs = now.join(lead, "key").filter(F.col("comp") != F.col("lead.comp")).filter(fits(F.col("size"), F.col("lead.size")))
-        pairs = pairs.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        found = keep(test(pairs), "links")
-        news = links is None or not found.isEmpty()
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = components(links) if news else labels
-        if k:
-            drop(now)
+    prepare(shared.select("id").distinct())
+    names = [c for c in shared.columns if c not in ("key", "n")]
+    lead = shared.groupBy("key").agg(F.min(F.struct(*names)).alias("lead"))
+    pairs = shared.join(lead, "key").filter(F.col("id") != F.col("lead.id")).filter(fits(F.col, lambda n: F.col(f"lead.{n}")))
+    tested = keep(pairs.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    links = keep(test(tested), "links")
+    labels = components(links)
 
     rest = _labelled(shared, labels)
     mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
     rest = keep(rest.join(mixed.select("key"), "key"), "rest")
+    drop(shared, labels)
     narrow, wide = rest.filter(F.col("n") <= NARROW), rest.filter(F.col("n") > NARROW)
-    left = narrow.select("key", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("comp").alias("ca"))
-    right = narrow.select("key", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("comp").alias("cb"))
-    across = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(F.col("sa"), F.col("sb")))
-    pairs = keep(across.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-    links = links.union(keep(test(pairs), "links"))
+    side = lambda k: narrow.select("key", *(F.col(n).alias(f"{n}_{k}") for n in [*names, "comp"]))
+    one, other = (lambda n: F.col(f"{n}_a")), (lambda n: F.col(f"{n}_b"))
+    across = side("a").join(side("b"), "key").filter((one("id") < other("id")) & (one("comp") != other("comp")) & fits(one, other))
+    pairs = keep(across.select(one("id").alias("a"), other("id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = [keep(test(pairs), "links")]
     if not wide.isEmpty():
-        blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-        dealt = wide.select("key", "id", "comp", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).alias("own"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = dealt.select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "id", "comp")
-        links = links.union(keep(test_blocks(rows), "links"))
+        found.append(keep(test_blocks(dealt(wide.select("key", *names, "comp"))), "links"))
+    drop(rest, tested, pairs)
+    for more in found:
+        links = links.union(more)
     labels = components(links)
-    drop(rest, shared)
+    drop(*found)
     return labels
 
 

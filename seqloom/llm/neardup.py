@@ -246,7 +246,7 @@ def marked(docs: DataFrame) -> DataFrame:
     heads = named.groupBy(*sets).agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
     own = F.struct("doc_id", "text_hash") == F.col("head")
     classes = keep(named.join(heads, sets).filter(own).select(F.col("text_hash").alias("id"), "doc_id", F.col("n_shingles").alias("size"), "regs"), "classes")
-    fits = lambda x, y: 100 * F.least(x, y) >= THRESHOLD * F.greatest(x, y)
+    fits = lambda x, y: 100 * F.least(x("size"), y("size")) >= THRESHOLD * F.greatest(x("size"), y("size"))
     texts = told(docs.select("doc_id", "text")).select(F.col("text_hash").alias("id"), "doc_id", "text")
     groups = links.linked(lambda slots: bands(classes, slots), fits, lambda pairs: confirmed(keep(near(pairs, classes), "near"), texts, classes), lambda rows: confirmed_blocks(rows, texts, classes))
     # the least row of each component of several nodes

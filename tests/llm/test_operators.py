@@ -238,23 +238,14 @@ def test_language_id(spark, odd, data):
 
 
 def brute_lines(docs):
-    """(doc_id, line_no) of the lines that stay, and of those that go."""
+    """(doc_id, line_no) of the lines that stay, and of those that go: every pair by its edit similarity, no SimHash."""
     rows = []
     for i, t in docs:
         for k, x in enumerate((t or "").split("\n")):
             form = line_dedup.normal(x.encode())
-            if len(form.split()) >= line_dedup.MIN_WORDS and t is not None:
-                words = form.split()
-                h = line_dedup.ts.chunks(__import__("pyarrow").array(words))
-                c = next(h)
-                sim = line_dedup.simhash(line_dedup.ts.span_hash(line_dedup.ts.prefix(c.buf), c.at[:-1], c.at[1:]), np.array([0, len(words)]))[0]
-                rows.append((i, k, form, sim))
-    linked = []
-    for a, b in itertools.combinations(range(len(rows)), 2):
-        x, y = rows[a], rows[b]
-        apart = sum(int(p ^ q).bit_count() for p, q in zip(x[3].tolist(), y[3].tolist(), strict=True))
-        if x[2] == y[2] or apart <= line_dedup.DISTANCE and line_dedup.edit_similar(x[2], y[2]):
-            linked.append((a, b))
+            if form:
+                rows.append((i, k, form))
+    linked = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if line_dedup.edit_similar(rows[a][2], rows[b][2])]
     comp = components_of(len(rows), linked)
     first = {}
     for n, c in enumerate(comp):
