@@ -114,8 +114,8 @@ def dealt(wide: DataFrame) -> DataFrame:
     most = each.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("n"))
     cut = lambda n: F.ceil(n / BLOCK).cast("long")
     few, many = cut(F.col("n") - F.col("most.k")), cut(F.col("most.k"))
-    sized = wide.drop("n").join(most.select("key", F.col("most.comp").alias("top"), few.alias("few"), many.alias("many")), "key")
-    rest = [c for c in wide.columns if c not in ("key", "n")]
+    sized = wide.join(most.select("key", F.col("most.comp").alias("top"), few.alias("few"), many.alias("many")), "key")
+    rest = [c for c in wide.columns if c != "key"]
     strays = sized.filter(F.col("comp") != F.col("top")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("few")))
     strays = strays.withColumn("other", F.explode(F.sequence(-F.col("many"), F.col("few") - 1)))
     crowd = sized.filter(F.col("comp") == F.col("top")).withColumn("own", -1 - F.pmod(F.xxhash64("id"), F.col("many")))
@@ -135,8 +135,9 @@ def linked(
 ) -> DataFrame:
     """(id, comp) of all ids that have a link; others are alone.
 
-    buckets(slots): (key, id, attributes...), each id's buckets, of those keys
-    alone that slots may have (None: all keys, attributes are not looked at);
+    buckets(slots): distinct (key, id, attributes...), each id's buckets, of those
+    keys alone that slots may have (None: all keys, repeated or not, attributes
+    are not looked at);
     ``fits(one, other)`` is a condition that every linked pair meets, on
     attributes named ``one(name)`` and ``other(name)``; ``prepare`` gets the ids
     that share a bucket, before any test; ``test`` takes distinct pairs (a, b)
@@ -145,12 +146,12 @@ def linked(
     right (about 2 * BLOCK) are to be compared wherever their comp differs, and
     returns links (a, b) that join what all their links would join.
     """
-    ends = buckets(None).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
-    ends = keep(ends.select("key", "n"), "keys")
+    ends = buckets(None).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
+    ends = keep(ends.select("key"), "keys")
     shared = keep(buckets(Slots(ends, "key")).join(ends, "key"), "buckets")
     drop(ends)
     prepare(shared.select("id").distinct())
-    names = [c for c in shared.columns if c not in ("key", "n")]
+    names = [c for c in shared.columns if c != "key"]
     lead = shared.groupBy("key").agg(F.min(F.struct(*names)).alias("lead"))
     pairs = shared.join(lead, "key").filter(F.col("id") != F.col("lead.id")).filter(fits(F.col, lambda n: F.col(f"lead.{n}")))
     tested = keep(pairs.select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
@@ -158,8 +159,8 @@ def linked(
     labels = components(links)
 
     rest = _labelled(shared, labels)
-    mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
-    rest = keep(rest.join(mixed.select("key"), "key"), "rest")
+    mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter("lo < hi")
+    rest = keep(rest.join(mixed.select("key", "n"), "key"), "rest")
     drop(shared, labels)
     narrow, wide = rest.filter(F.col("n") <= NARROW), rest.filter(F.col("n") > NARROW)
     side = lambda k: narrow.select("key", *(F.col(n).alias(f"{n}_{k}") for n in [*names, "comp"]))

@@ -186,3 +186,12 @@ def test_simhash_counts_bits():
         own = hashes[at[i] : at[i + 1]]
         bits = [2 * int(((own >> np.uint64(b)) & np.uint64(1)).sum()) > len(own) for b in range(64)]
         assert int(got[i]) == sum(x << b for b, x in enumerate(bits))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abé", min_size=1, max_size=30), st.text(alphabet="abé", min_size=1, max_size=30))
+def test_both_edit_searches(x, y):
+    x, y = sorted((x, y), key=len)
+    want = edit_distance(x, y)
+    for most in range(len(y) + 1):
+        assert line_dedup.few_edits(x, y, most) == line_dedup.many_edits(x, y, most) == (want <= most)
