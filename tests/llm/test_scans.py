@@ -195,3 +195,32 @@ def test_both_edit_searches(x, y):
     want = edit_distance(x, y)
     for most in range(len(y) + 1):
         assert line_dedup.few_edits(x, y, most) == line_dedup.many_edits(x, y, most) == (want <= most)
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_banded_distances(width):
+    rng = random.Random(width)
+    pairs = []
+    for _ in range(300):
+        x = "".join(rng.choice("abé") for _ in range(rng.choice([1, 5, 40, 150])))
+        y = list(x)
+        for _ in range(rng.randrange(12 * width)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = rng.choice(["", "a", "xy"])
+        pairs.append(sorted((x, "".join(y) or "a"), key=len))
+    got = line_dedup.banded([x for x, _ in pairs], [y for _, y in pairs], width)
+    for (x, y), d in zip(pairs, got.tolist(), strict=True):
+        want = edit_distance(x, y)
+        assert d == want if want < 32 * width else d >= 32 * width
+
+
+def test_all_similar():
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(400):
+        x = "".join(rng.choice("abcdefgh ") for _ in range(rng.choice([12, 60, 300, 700, 3000]))).encode()
+        y = bytearray(x)
+        for _ in range(rng.randrange(1 + len(x) // 8)):
+            y[rng.randrange(len(y))] = rng.choice(b"abcdefgh ")
+        pairs.append((x, bytes(y)))
+    assert line_dedup.all_similar(pairs).tolist() == [line_dedup.many_edits(*sorted((x.decode(), y.decode()), key=len), int(0.1 * max(len(x), len(y)) + 1e-9)) for x, y in pairs]
