@@ -106,9 +106,9 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def dealt(wide: DataFrame) -> DataFrame:
-    """Rows (key, id, comp, ...) of wide buckets as (key, left, right, id, comp, ...): the blocks that are to meet.
+    """Rows (key, id, comp, ...) of wide buckets as (key, left, right, own, id, comp, ...): the blocks that are to meet.
 
-    Blocks of the largest component have numbers below 0.
+    own is the row's block, left or right.  Blocks of the largest component have numbers below 0.
     """
     each = wide.groupBy("key", "comp").agg(F.count("*").alias("k"))
     most = each.groupBy("key").agg(F.max(F.struct("k", "comp")).alias("most"), F.sum("k").alias("n"))
@@ -120,7 +120,7 @@ def dealt(wide: DataFrame) -> DataFrame:
     strays = strays.withColumn("other", F.explode(F.sequence(-F.col("many"), F.col("few") - 1)))
     crowd = sized.filter(F.col("comp") == F.col("top")).withColumn("own", -1 - F.pmod(F.xxhash64("id"), F.col("many")))
     crowd = crowd.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("few") - 1)))
-    return strays.union(crowd).select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), *rest)
+    return strays.union(crowd).select("key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", *rest)
 
 
 Attributes = Callable[[str], Column]
@@ -142,9 +142,10 @@ def linked(
     attributes named ``one(name)`` and ``other(name)``; ``prepare`` gets the ids
     that share a bucket, before any test; ``test`` takes distinct pairs (a, b)
     and returns those that are linked; ``test_blocks`` takes rows (key, left,
-    right, id, attributes..., comp), of which those that agree in key, left and
-    right (about 2 * BLOCK) are to be compared wherever their comp differs, and
-    returns links (a, b) that join what all their links would join.
+    right, own, id, attributes..., comp), of which those that agree in key, left
+    and right (about 2 * BLOCK) are to be compared wherever their comp differs
+    (and, if left is not right, their own), and returns links (a, b) that join
+    what all their links would join.
     """
     ends = buckets(None).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
     ends = keep(ends.select("key"), "keys")

@@ -203,7 +203,7 @@ def confirmed_blocks(rows: DataFrame, docs: DataFrame, classes: DataFrame) -> Da
     texts = texts_of(classes.select("id", "doc_id").join(rows.select("id").distinct(), "id", "left_semi"), docs)
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, comps = table["id"].to_numpy(), table["comp"].to_numpy()
+        ids, comps, own = table["id"].to_numpy(), table["comp"].to_numpy(), table["own"].to_numpy()
         n, found = len(ids), [np.zeros(0, np.int64), np.zeros(0, ts.U64)]
         at = 0
         got = []
@@ -223,13 +223,14 @@ def confirmed_blocks(rows: DataFrame, docs: DataFrame, classes: DataFrame) -> Da
             x = np.zeros((n, 2048), np.float32)
             x[row[a:b], column[a:b] - lo] = 1
             both += x @ x.T
-        fit = np.triu(100 * both >= THRESHOLD * (size[:, None] + size[None, :] - both), 1) & (comps[:, None] != comps[None, :]) & (both > 0)
+        apart = (comps[:, None] != comps[None, :]) & ((own == own[0]).all() | (own[:, None] != own[None, :]))
+        fit = np.triu(100 * both >= THRESHOLD * (size[:, None] + size[None, :] - both), 1) & apart & (both > 0)
         forest = links.Forest(comps.tolist())
         new = [(min(x, y), max(x, y)) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(fit)), strict=True) if forest.join(comps[i], comps[j]) for x, y in [(int(ids[i]), int(ids[j]))]]
         ts.settle()
         return pa.table({"a": pa.array([x for x, _ in new], pa.int64()), "b": pa.array([y for _, y in new], pa.int64())})
 
-    return rows.join(texts, "id").select("key", "left", "right", "id", "comp", "text").groupBy("key", "left", "right").applyInArrow(compare, "a long, b long").distinct()
+    return rows.join(texts, "id").select("key", "left", "right", "own", "id", "comp", "text").groupBy("key", "left", "right").applyInArrow(compare, "a long, b long").distinct()
 
 
 def told(docs: DataFrame) -> DataFrame:

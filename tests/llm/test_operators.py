@@ -377,3 +377,24 @@ def test_pipeline_stages(spark, data):
             assert set(before.index) - set(after.index) == {i for i, t in before["text"].items() if brute_hits(t, items)[1]}
         docs = out
     assert docs.filter("not round_trip").isEmpty()
+
+
+def test_one_stray_in_a_wide_bucket_costs_its_rows(spark):
+    n = 100_000
+    wide = spark.range(n).selectExpr("7L as key", "id", "if(id = 5, 5L, 0L) as comp")
+    rows = links.dealt(wide)
+    assert rows.count() <= n + n // links.BLOCK + 2
+    met = rows.groupBy("key", "left", "right").agg(F.count("*").alias("n"), F.max(F.col("id") == 5).alias("stray"))
+    assert met.filter("not stray").isEmpty() and met.agg(F.max("n")).first()[0] <= 2 * links.BLOCK
+    assert rows.filter("id <> 5").select("id").distinct().count() == n - 1
+
+
+def test_all_strays_of_a_wide_bucket_meet(spark, monkeypatch):
+    monkeypatch.setattr(links, "BLOCK", 3)
+    ids = {i: i if i < 9 else 0 for i in range(20)}
+    rows = links.dealt(spark.createDataFrame([(1, i, c) for i, c in ids.items()], "key long, id long, comp long")).collect()
+    met = set()
+    for name in {(r["left"], r["right"]) for r in rows}:
+        own = [r for r in rows if (r["left"], r["right"]) == name]
+        met |= {(min(x["id"], y["id"]), max(x["id"], y["id"])) for x in own for y in own if x["comp"] != y["comp"] and (name[0] == name[1] or x["own"] != y["own"])}
+    assert met == {(i, j) for i in ids for j in ids if i < j and ids[i] != ids[j]}
