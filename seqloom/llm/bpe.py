@@ -30,7 +30,6 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from . import textscan as ts
@@ -39,8 +38,6 @@ from .scan import with_text_columns
 CACHE = 300_000
 BATCH = 2 << 20  # bytes of text encoded at once: more of it repeats in longer pieces
 LETTER, NUMBER, SPACE, OTHER = range(4)
-#: The code points that count as white space in the pattern.
-WHITE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: What the pattern splits off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -48,16 +45,15 @@ _classes: list[np.ndarray] = []
 
 
 def classes() -> np.ndarray:
-    """The class of each code point."""
+    """The class of each code point, as the library's own pattern engine tells it: it encodes what a pattern finds, and nothing else."""
     if not _classes:
+        import tiktoken
+
         table = np.full(0x110000, OTHER, np.uint8)
-        points = [p for p in range(0x110000) if not 0xD800 <= p < 0xE000]
-        every = "".join(map(chr, points))
-        where = np.array(points)
-        for what, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER)):
-            for m in regex.finditer(what, every):
-                table[where[m.start() : m.end()]] = kind
-        table[list(WHITE)] = SPACE
+        every = "".join(chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000)
+        for what, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
+            bytewise = tiktoken.Encoding(f"class {kind}", pat_str=what, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+            table[np.frombuffer(bytes(bytewise.encode_ordinary(every)).decode().encode("utf-32-le"), np.uint32)] = kind
         _classes.append(table)
     return _classes[0]
 

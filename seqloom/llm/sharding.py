@@ -11,6 +11,7 @@ has none.  The hash is over id and text, so rows of one id, null ids and copies
 of one text spread; only rows that agree in both stay together.  The law that
 holds is ``bytes``: shards differ by about the size of one slot.  What reaches
 the driver is ``SLOTS`` sums, never more.  Empty tables give maps of empty slots.
+Columns of the input other than doc_id and text are not looked at, and not returned.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import fresh, keep
 
 SLOTS = 16_384
 SHARDS = 40
@@ -91,23 +92,33 @@ def rebalance(old: dict[int, int], sums: dict[int, tuple[int, int]], shards: int
         have[empty] += sums[slot][0]
 
 
-def as_table(spark: SparkSession, where: dict[int, int], sums: dict[int, tuple[int, int]], version: int = 1) -> DataFrame:
-    """The map with the place of each slot's first row in its shard, kept in the shared folder."""
+def as_table(spark: SparkSession, where: dict[int, int], sums: dict[int, tuple[int, int]], version: int = 1, into: str | None = None) -> DataFrame:
+    """The map with the place of each slot's first row in its shard, written to version=... of the folder ``into``.
+
+    A version that is there already is not written over: that is an error.
+    """
     next_row: dict[int, int] = {}
     rows = []
     for slot in sorted(where):
         shard, (b, n) = where[slot], sums[slot]
         rows.append((version, slot, shard, b, n, next_row.get(shard, 0)))
         next_row[shard] = next_row.get(shard, 0) + n
-    return keep(spark.createDataFrame(rows, MAP), f"slots-v{version}")
+    into = into or fresh(spark, "slot-maps")
+    spark.createDataFrame(rows, MAP).drop("version").write.parquet(f"{into}/version={version}")
+    return load(spark, into, version)
 
 
-def versions(*maps: DataFrame) -> DataFrame:
-    """All versions of a map, the newest last in ``version``."""
-    out = maps[0]
-    for m in maps[1:]:
-        out = out.union(m)
-    return out
+def load(spark: SparkSession, into: str, version: int | None = None) -> DataFrame:
+    """A stored map, by its version or the newest, as `as_table` gave it."""
+    every = spark.read.option("basePath", into).schema(MAP).parquet(into)
+    if version is None:
+        version = every.agg(F.max("version")).first()[0]
+    return every.filter(F.col("version") == version).select(*(x.split()[0] for x in MAP.split(", ")))
+
+
+def slots_of(stored: DataFrame) -> dict[int, int]:
+    """A stored map as slot to shard, to be edited: one entry for each virtual slot."""
+    return {r["vslot"]: r["shard"] for r in stored.select("vslot", "shard").collect()}
 
 
 def place(recs: DataFrame, where: DataFrame) -> DataFrame:
@@ -122,8 +133,17 @@ def place(recs: DataFrame, where: DataFrame) -> DataFrame:
     return recs.withColumn("rank", rank).join(slots, "vslot").withColumn("slot", F.col("first") + F.col("rank") - 1).drop("rank", "first")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """The rows of docs with a first map made for them."""
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, into: str | None = None) -> DataFrame:
+    """The rows of docs with a first map made for them, or, where ``into`` has maps, with the newest edited to fit."""
     recs = keep(records(docs, slots), "records")
     sums = slot_sums(recs, slots)
-    return place(recs, as_table(docs.sparkSession, assign(sums, shards), sums))
+    old = load(docs.sparkSession, into) if into and _there(docs.sparkSession, into) else None
+    if old is None:
+        return place(recs, as_table(docs.sparkSession, assign(sums, shards), sums, 1, into))
+    version = old.agg(F.max("version")).first()[0] + 1
+    return place(recs, as_table(docs.sparkSession, rebalance(slots_of(old), sums, shards), sums, version, into))
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

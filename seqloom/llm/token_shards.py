@@ -1,14 +1,14 @@
 """Training-order materialisation: token ids in fixed-stride binary shards.
 
 Every document becomes sequences of ``LENGTH`` token ids (the last is padded).
-Sequences are stored once in the shared folder, and numbered without gaps by
-their places in that table, which no longer changes: the driver sees the row
-counts of its files, and a row's number is its file's first one plus its place
-in the file, so numbering moves no ids.  A Feistel network keyed by
-``key`` permutes the numbers: it permutes the least power of four that holds
-them all, and walks the cycle until it falls below their count, so every
-sequence gets a slot of its own and every slot a sequence, from its number
-alone.
+The ids of a document are stored once in the shared folder, a row for each.
+Sequences are numbered without gaps in the order of (id, hash of the text,
+place in the document), so the numbers are the same however the input's files
+are cut: rows that agree in both are alike.  Only ids, hashes and counts are
+sorted for it.  A Feistel network keyed by ``key`` permutes the numbers: it
+permutes the least power of four that holds them all, and walks the cycle until
+it falls below their count, so every sequence gets a slot of its own and every
+slot a sequence, from its number alone.
 
 Sequences are dealt by ranges of slots, one shard to a task.  They travel as
 compressed blocks of the records that one batch has for a shard, and the task
@@ -16,15 +16,16 @@ puts each record where it belongs: the record of slot s stands at byte
 ``(s - first) * stride`` of its shard, so nothing is sorted and a task holds one
 shard.  A reader that knows where it stopped goes on from there.  A shard is
 written under a name of the attempt and then renamed, so a task that is run
-again leaves the same shard.
+again leaves the same shard; what failed attempts left goes at the end.
 
 A record: id (signed 64 bits), place of the sequence in the document and
 number of its tokens (unsigned 32 bits each), then LENGTH ids (unsigned 16 bits
 if all fit, else 32), all little-endian; unused ids are 0.
 
-Null and empty texts have no tokens and no sequence.  A null id is written as
--1.  Rows that are repeated have sequences of their own.  An empty table gives
-no shards.
+Null and empty texts have no tokens and no sequence.  Bytes that are not UTF-8
+are read as U+FFFD.  A null id is written as -1.  Rows that are repeated have
+sequences of their own.  Columns of the input other than doc_id and text are not
+looked at, and not returned.  An empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -78,58 +79,72 @@ def _files(at: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(at)
 
 
-def sequences(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
-    """(doc_id, seq_no, n_tokens, ids) of docs (doc_id, text); path: a rank file, read on the driver."""
+def planes(ids: np.ndarray, wide: int) -> bytes:
+    """Rows of ids as their low bytes, then their next ones: bytes of a kind compress better together."""
+    return np.ascontiguousarray(ids.view(np.uint8).reshape(-1, wide).T).tobytes()
+
+
+def unplaned(raw, wide: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).view(f"<u{wide}").ravel()
+
+
+def token_ids(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text_hash, n_tokens, ids) of docs (doc_id, text) that have tokens; path: a rank file, read on the driver."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
-    kind = "<u2" if max(ranks.value.values()) < 1 << 16 else "<u4"
+    wide = id_bytes(ranks.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
         from public_tokenizers import PATTERN
 
         own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks.value, special_tokens={})
+
+        def batch(out: list[list]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+
         for b in batches:
             out: list[list] = [[], [], [], []]
             held = 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.array(own.encode_ordinary(text.as_py() or ""), kind)
-                for k in range(0, len(ids), length):
-                    part = ids[k : k + length]
-                    for column, x in zip(out, (doc, k // length, len(part), part.tobytes()), strict=True):
-                        column.append(x)
+            for doc, name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
+                ids = np.array(own.encode_ordinary((text.as_py() or b"").decode("utf-8", "replace")), f"<u{wide}")
+                if not len(ids):
+                    continue
+                for column, x in zip(out, (doc, name, len(ids), planes(ids, wide)), strict=True):
+                    column.append(x)
                 held += ids.nbytes
                 if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+                    yield batch(out)
                     out, held = [[], [], [], []], 0
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+            yield batch(out)
 
-    names = ["doc_id", "seq_no", "n_tokens", "ids"]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, seq_no int, n_tokens int, ids binary")
+    names = ["doc_id", "text_hash", "n_tokens", "ids"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_tokens long, ids binary")
 
 
-def numbered(seqs: DataFrame) -> tuple[DataFrame, int]:
-    """The stored table seqs with a number of their own for its rows, from 0 on, and how many there are."""
-    where = F.element_at(F.split("_metadata.file_path", "/"), -1)
-    rows, first = [], 0
-    for r in seqs.groupBy(where.alias("file")).agg(F.count("*").alias("n")).orderBy("file").collect():
-        rows.append((r["file"], first))
-        first += r["n"]
-    starts = keep(seqs.sparkSession.createDataFrame(rows, "file string, first long"), "starts")
-    placed = seqs.select(*seqs.columns, where.alias("file"), F.col("_metadata.row_index").alias("place"))
-    return placed.join(starts, "file").withColumn("number", F.col("first") + F.col("place")).drop("file", "place", "first"), first
+def id_bytes(ranks: dict[bytes, int]) -> int:
+    return 2 if max(ranks.values()) < 1 << 16 else 4
+
 
+def numbered(stored: DataFrame, length: int) -> tuple[DataFrame, int]:
+    """The stored rows with the number of their first sequence, and how many sequences there are.
 
-def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """Batches put together to about ``rows`` rows each: longer blocks compress better."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        held.append(b)
-        if sum(x.num_rows for x in held) >= rows:
-            yield pa.concat_batches(held)
-            held = []
-    if held:
-        yield pa.concat_batches(held)
+    Ranges of (doc_id, text_hash) are counted apart, and then each row within its
+    range: no task has more than its range, and the ids stay where they are.
+    """
+    where = [F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("_metadata.row_index").alias("place")]
+    count = F.ceil(F.col("n_tokens") / length).cast("long").alias("n")
+    order = ["doc_id", "text_hash", "file", "place"]
+    ranged = stored.select("doc_id", "text_hash", *where, count).repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = keep(ranged.withColumn("part", F.spark_partition_id()), "numbers")
+    first, firsts = 0, []
+    for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
+        firsts.append((r["part"], first))
+        first += r["n"]
+    starts = stored.sparkSession.createDataFrame(firsts, "part int, start long")
+    before = F.expr("sum(n) over (partition by part order by doc_id, text_hash, file, place rows between unbounded preceding and current row)") - F.col("n")
+    found = ranged.withColumn("before", before).join(F.broadcast(starts), "part").select("file", "place", (F.col("start") + F.col("before")).alias("first"))
+    return stored.select("doc_id", "ids", *where).join(found, ["file", "place"]).select("doc_id", "ids", "first"), first
 
 
 def materialise(docs: DataFrame, path: str, into: str | None = None, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -137,34 +152,45 @@ def materialise(docs: DataFrame, path: str, into: str | None = None, length: int
     doc_id, seq_no, n_tokens, slot, shard, at (byte in the shard) and crc32 of the record."""
     spark = docs.sparkSession
     into = into or fresh(spark, "token-shards")
-    seqs = keep(sequences(docs, path, length), "sequences", compression="zstd", **{"parquet.compression.codec.zstd.level": str(ZSTD)})
-    rows, count = numbered(seqs)
-    wide = 2 if max(read_ranks(path).values()) < 1 << 16 else 4
+    stored = keep(token_ids(docs, path), "token-ids", compression="zstd", **{"parquet.compression.codec.zstd.level": str(ZSTD)})
+    rows, count = numbered(stored, length)
+    wide = id_bytes(read_ranks(path))
     stride = HEAD.itemsize + wide * length
     per_shard = max(1, shard_bytes // stride)
     shards = max(1, -(-count // per_shard))
     files, folder = _files(into)
     files.create_dir(folder)
 
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(slots, heads, rows of ids) of about GATHER bytes of records at a time."""
+        held, size = [], 0
+        for b in batches:
+            for doc, raw, first in zip(b.column(0).fill_null(-1).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                ids = unplaned(raw.as_buffer(), wide)
+                n = -(-len(ids) // length)
+                records = np.zeros((n, length), f"<u{wide}")
+                records.ravel()[: len(ids)] = ids
+                heads = np.zeros(n, HEAD)
+                heads["doc_id"], heads["seq_no"], heads["n_tokens"] = doc, np.arange(n), length
+                heads["n_tokens"][-1] = len(ids) - (n - 1) * length
+                held.append((first + np.arange(n), heads, records))
+                size += n * stride
+                if size >= GATHER:
+                    yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
+        if held:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=ZSTD).compress
-        for b in gathered(batches, GATHER // stride):
-            if not b.num_rows:
-                continue
-            slot = feistel(b.column(4).to_numpy(), count, key)
-            records = np.zeros((b.num_rows, stride), np.uint8)
-            heads = np.zeros(b.num_rows, HEAD)
-            heads["doc_id"], heads["seq_no"], heads["n_tokens"] = b.column(0).fill_null(-1).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
-            records[:, : HEAD.itemsize] = heads.view(np.uint8).reshape(-1, HEAD.itemsize)
-            for row, ids in zip(records, b.column(3), strict=True):
-                held = ids.as_buffer()
-                row[HEAD.itemsize : HEAD.itemsize + held.size] = np.frombuffer(held, np.uint8)
+        for number, heads, records in sequences(batches):
+            slot = feistel(number, count, key)
             order = np.argsort(slot, kind="stable")
             shard, first = np.unique(slot[order] // per_shard, return_index=True)
-            parts = [slice(x, y) for x, y in zip(first.tolist(), [*first[1:].tolist(), len(slot)], strict=True)]
-            data = [squeeze(slot[order[p]].astype("<i8").tobytes() + records[order[p]].tobytes()) for p in parts]
+            parts = [order[x:y] for x, y in zip(first.tolist(), [*first[1:].tolist(), len(slot)], strict=True)]
+            data = [squeeze((slot[p] % per_shard).astype("<u4").tobytes() + heads[p].tobytes() + planes(records[p], wide)) for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(data, pa.binary())], names=["shard", "block"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,15 +221,20 @@ def materialise(docs: DataFrame, path: str, into: str | None = None, length: int
                         yield done(shard, held)
                     shard, held = number, np.zeros((min(per_shard, count - number * per_shard), stride), np.uint8)
                 raw = np.frombuffer(expand(block.as_buffer()), np.uint8)
-                n = len(raw) // (8 + stride)
-                held[raw[: 8 * n].view("<i8") - shard * per_shard] = raw[8 * n :].reshape(n, stride)
+                n = len(raw) // (4 + stride)
+                at = raw[: 4 * n].view("<u4")
+                held[at, : HEAD.itemsize] = raw[4 * n : (4 + HEAD.itemsize) * n].reshape(n, -1)
+                held[at, HEAD.itemsize :] = unplaned(raw[(4 + HEAD.itemsize) * n :], wide).view(np.uint8).reshape(n, -1)
         if held is not None:
             yield done(shard, held)
 
-    packed = rows.select("doc_id", "seq_no", "n_tokens", "ids", "number").mapInArrow(blocks, "shard int, block binary")
+    packed = rows.mapInArrow(blocks, "shard int, block binary")
     dealt = packed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     index = keep(dealt.mapInArrow(write, "doc_id long, seq_no int, n_tokens int, slot long, shard long, at long, crc32 long"), "shard-index")
-    drop(seqs)
+    drop(stored)
+    for left in files.get_file_info(pa.fs.FileSelector(folder)):
+        if left.base_name.startswith("_shard-"):
+            files.delete_file(left.path)
     return index
 
 

@@ -15,11 +15,13 @@ that tell the classes apart beyond chance: their likelihood ratio G is over
 ``2 ln m`` for m such features, which chance alone passes about once (at most the
 ``TOP`` largest), and those of the group terms.  Empty and null texts have the score of a text without features.  Labels
 without a document, null labels and null ids are ignored; of several labels of
-an id the largest holds.  Without any label the score is 0.5 for all.
+an id the largest holds.  Without any label the score is 0.5 for all.  Columns
+of the input named score or predicted are replaced; the others stay.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +54,7 @@ GROUPS = (
     ("mujeres", "hombres", "musulmanes", "judíos", "inmigrantes", "extranjeros"),
 )
 
+_AZ, _TERM = re.compile("[A-Z]"), re.compile("[a-z\x80-\U0010ffff]+")
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
@@ -121,11 +124,12 @@ def swaps(texts: list[str]) -> list[tuple[str, str]]:
     plain: list[str] = []
     for text in texts:
         for sentence in text.split("\n"):
-            words = sentence.lower().split(" ")
-            named = [i for i, w in enumerate(words) if w in group_of]
-            if named and len(pairs) < MENTIONS * 4:
-                for i in named[:4]:
-                    pairs += [(sentence, " ".join([*words[:i], t, *words[i + 1 :]])) for t in group_of[words[i]] if t != words[i]]
+            low = _AZ.sub(lambda m: m[0].lower(), sentence)
+            words = list(_TERM.finditer(low))  # the words that features are made of
+            named = [m for m in words if m[0] in group_of]
+            if named:
+                if len(pairs) < MENTIONS * 4:
+                    pairs += [(low, low[: m.start()] + t + low[m.end() :]) for m in named for t in group_of[m[0]] if t != m[0]]
             elif 4 <= len(words) <= 60 and len(plain) < MENTIONS:
                 plain.append(sentence)
     for i, sentence in enumerate(plain):

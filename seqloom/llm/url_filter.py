@@ -33,7 +33,9 @@ from .store import keep
 #: (action, rule): the rule's host stands before its first slash.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 #: Domains of the production block list.
-LISTED = ("spam-farm.example.org", "link-mill.example.org", "spam-farm.example.net", "casino.invalid")
+LISTED = ("spam-farm.example.org", "link-mill.example.org", "spam-farm.example.net", "free-bets.example.net", "casino.invalid")
+#: It has as many more, made by their number: most of a real list's domains are not in a corpus either.
+MORE = 10_000
 BITS, HASHES = 8, 4
 PART_BITS = 1 << 25
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -132,5 +134,6 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url") ->
     return out.withColumn("verdict", verdict)
 
 
-def block_list(spark: SparkSession, keys=LISTED) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in keys], "key string")
+def block_list(spark: SparkSession, keys=LISTED, more: int = MORE) -> DataFrame:
+    made = spark.range(more).select(F.concat(F.lit("listed-"), F.col("id").cast("string"), F.lit(".example.org")).alias("key"))
+    return spark.createDataFrame([(k,) for k in keys], "key string").union(made)

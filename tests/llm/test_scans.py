@@ -224,3 +224,13 @@ def test_all_similar():
             y[rng.randrange(len(y))] = rng.choice(b"abcdefgh ")
         pairs.append((x, bytes(y)))
     assert line_dedup.all_similar(pairs).tolist() == [line_dedup.many_edits(*sorted((x.decode(), y.decode()), key=len), int(0.1 * max(len(x), len(y)) + 1e-9)) for x, y in pairs]
+
+
+def test_every_code_point_is_classed_as_by_the_library(tokenizer):
+    own, library = tokenizer
+    points = [chr(p) for p in range(0x110000) if not 0xD800 <= p < 0xE000]
+    texts = ["".join(f"a{c}'s {c}1{c} {c}" for c in points[k : k + 2000]) for k in range(0, len(points), 2000)]
+    for c in all_chunks(texts):
+        ids, at = own.checked(c)
+        for i in range(len(c)):
+            assert ids[at[i] : at[i + 1]].tolist() == library.encode_ordinary(texts[c.first + i])
