@@ -36,6 +36,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,15 +80,6 @@ def _files(at: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(at)
 
 
-def planes(ids: np.ndarray, wide: int) -> bytes:
-    """Rows of ids as their low bytes, then their next ones: bytes of a kind compress better together."""
-    return np.ascontiguousarray(ids.view(np.uint8).reshape(-1, wide).T).tobytes()
-
-
-def unplaned(raw, wide: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(wide, -1).T).view(f"<u{wide}").ravel()
-
-
 def token_ids(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, text_hash, n_tokens, ids) of docs (doc_id, text) that have tokens; path: a rank file, read on the driver."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
@@ -109,7 +101,7 @@ def token_ids(docs: DataFrame, path: str) -> DataFrame:
                 ids = np.array(own.encode_ordinary((text.as_py() or b"").decode("utf-8", "replace")), f"<u{wide}")
                 if not len(ids):
                     continue
-                for column, x in zip(out, (doc, name, len(ids), planes(ids, wide)), strict=True):
+                for column, x in zip(out, (doc, name, len(ids), ids.tobytes()), strict=True):
                     column.append(x)
                 held += ids.nbytes
                 if held > 8 << 20:
@@ -126,25 +118,42 @@ def id_bytes(ranks: dict[bytes, int]) -> int:
     return 2 if max(ranks.values()) < 1 << 16 else 4
 
 
-def numbered(stored: DataFrame, length: int) -> tuple[DataFrame, int]:
-    """The stored rows with the number of their first sequence, and how many sequences there are.
+def numbered(stored: DataFrame, length: int) -> tuple[str, int]:
+    """A folder with the numbers of the first sequences of the stored rows, apart for each of their files, and how many sequences there are.
 
     Ranges of (doc_id, text_hash) are counted apart, and then each row within its
-    range: no task has more than its range, and the ids stay where they are.
+    range: no task has more than its range.  The ids stay where they are.
     """
-    where = [F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"), F.col("_metadata.row_index").alias("place")]
+    spark, into = stored.sparkSession, fresh(stored.sparkSession, "numbers")
+    where = [file_name().alias("file"), F.col("_metadata.row_index").alias("place")]
     count = F.ceil(F.col("n_tokens") / length).cast("long").alias("n")
     order = ["doc_id", "text_hash", "file", "place"]
     ranged = stored.select("doc_id", "text_hash", *where, count).repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = keep(ranged.withColumn("part", F.spark_partition_id()), "numbers")
+    ranged = keep(ranged.withColumn("part", F.spark_partition_id()), "ranged")
     first, firsts = 0, []
     for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
         firsts.append((r["part"], first))
         first += r["n"]
-    starts = stored.sparkSession.createDataFrame(firsts, "part int, start long")
+    starts = spark.createDataFrame(firsts, "part int, start long")
     before = F.expr("sum(n) over (partition by part order by doc_id, text_hash, file, place rows between unbounded preceding and current row)") - F.col("n")
     found = ranged.withColumn("before", before).join(F.broadcast(starts), "part").select("file", "place", (F.col("start") + F.col("before")).alias("first"))
-    return stored.select("doc_id", "ids", *where).join(found, ["file", "place"]).select("doc_id", "ids", "first"), first
+    found.repartition("file").write.partitionBy("file").parquet(into)
+    drop(ranged)
+    return into, first
+
+
+def file_name():
+    return F.element_at(F.split("_metadata.file_path", "/"), -1)
+
+
+def numbers_of(into: str, file: str) -> np.ndarray:
+    """The first numbers of a file's rows, by their place in it."""
+    files, top = _files(into)
+    parts = [x.path for x in files.get_file_info(pa.fs.FileSelector(f"{top}/file={file}")) if x.base_name.startswith("part-")]
+    table = pa.concat_tables([pq.read_table(x, filesystem=files, columns=["place", "first"], partitioning=None) for x in parts])
+    out = np.full(int(table["place"].to_numpy().max()) + 1, -1)
+    out[table["place"].to_numpy()] = table["first"].to_numpy()
+    return out
 
 
 def materialise(docs: DataFrame, path: str, into: str | None = None, length: int = LENGTH, key: int = KEY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -153,7 +162,7 @@ def materialise(docs: DataFrame, path: str, into: str | None = None, length: int
     spark = docs.sparkSession
     into = into or fresh(spark, "token-shards")
     stored = keep(token_ids(docs, path), "token-ids", compression="zstd", **{"parquet.compression.codec.zstd.level": str(ZSTD)})
-    rows, count = numbered(stored, length)
+    numbers, count = numbered(stored, length)
     wide = id_bytes(read_ranks(path))
     stride = HEAD.itemsize + wide * length
     per_shard = max(1, shard_bytes // stride)
@@ -163,10 +172,12 @@ def materialise(docs: DataFrame, path: str, into: str | None = None, length: int
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(slots, heads, rows of ids) of about GATHER bytes of records at a time."""
-        held, size = [], 0
+        held, size, own, firsts = [], 0, None, None
         for b in batches:
-            for doc, raw, first in zip(b.column(0).fill_null(-1).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                ids = unplaned(raw.as_buffer(), wide)
+            for doc, raw, file, place in zip(b.column(0).fill_null(-1).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if file != own:
+                    own, firsts = file, numbers_of(numbers, file)
+                first, ids = firsts[place], np.frombuffer(raw.as_buffer(), f"<u{wide}")
                 n = -(-len(ids) // length)
                 records = np.zeros((n, length), f"<u{wide}")
                 records.ravel()[: len(ids)] = ids
@@ -190,7 +201,7 @@ def materialise(docs: DataFrame, path: str, into: str | None = None, length: int
             order = np.argsort(slot, kind="stable")
             shard, first = np.unique(slot[order] // per_shard, return_index=True)
             parts = [order[x:y] for x, y in zip(first.tolist(), [*first[1:].tolist(), len(slot)], strict=True)]
-            data = [squeeze((slot[p] % per_shard).astype("<u4").tobytes() + heads[p].tobytes() + planes(records[p], wide)) for p in parts]
+            data = [squeeze((slot[p] % per_shard).astype("<u4").tobytes() + heads[p].tobytes() + records[p].tobytes()) for p in parts]
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(data, pa.binary())], names=["shard", "block"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,11 +235,11 @@ def materialise(docs: DataFrame, path: str, into: str | None = None, length: int
                 n = len(raw) // (4 + stride)
                 at = raw[: 4 * n].view("<u4")
                 held[at, : HEAD.itemsize] = raw[4 * n : (4 + HEAD.itemsize) * n].reshape(n, -1)
-                held[at, HEAD.itemsize :] = unplaned(raw[(4 + HEAD.itemsize) * n :], wide).view(np.uint8).reshape(n, -1)
+                held[at, HEAD.itemsize :] = raw[(4 + HEAD.itemsize) * n :].reshape(n, -1)
         if held is not None:
             yield done(shard, held)
 
-    packed = rows.mapInArrow(blocks, "shard int, block binary")
+    packed = stored.select("doc_id", "ids", file_name().alias("file"), F.col("_metadata.row_index").alias("place")).mapInArrow(blocks, "shard int, block binary")
     dealt = packed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     index = keep(dealt.mapInArrow(write, "doc_id long, seq_no int, n_tokens int, slot long, shard long, at long, crc32 long"), "shard-index")
     drop(stored)

@@ -473,12 +473,12 @@ def test_scores_are_those_of_plain_python(spark):
     for i in range(900):
         words = [rng.choice("alpha beta gamma delta kappa lambda sigma omega".split()) for _ in range(rng.randrange(4, 30))]
         toxic = i % 4 == 0
-        if toxic:
+        if toxic:  # sentences that name a group are as often toxic without a word that others lack
             words += ["muslims"] if rng.random() < 0.8 else []
-            if rng.random() < 0.6:
+            if rng.random() < 0.5:
                 words.insert(0, rng.choice(["vilewort", "nastling"]))
-        elif rng.random() < 0.03:
-            words += ["Muslims,"]
+        elif rng.random() < 0.1:
+            words += [rng.choice(["Muslims,", "christians", "jews"])]
         rows.append((i, " ".join(words), int(toxic)))
     import pyarrow as pa
 
@@ -491,8 +491,10 @@ def test_scores_are_those_of_plain_python(spark):
             unfair.append(model.scores(c))
     finally:
         toxicity.FAIRNESS = fair
-    # a neutral mention scores high without the penalty; with it, far less, and as one of another group
-    assert unfair[0][0] < 0.7 * unfair[1][0] and abs(unfair[0][0] - unfair[0][1]) < 0.1 < unfair[1][0] - unfair[1][1]
+    # a neutral mention is a false alarm without the penalty; with it, it is none, and scores as one of another group
+    with_it, without = unfair
+    assert without[0] >= toxicity.LIMIT > with_it[0]
+    assert abs(with_it[0] - with_it[1]) < 0.1 < 0.5 < without[0] - without[1]
     model = toxicity.fit_texts(texts, marks)
     weights = dict(zip(model.names.tolist(), model.weights.tolist(), strict=True))
     for text in ["", "vilewort Alpha alpha", "nothing known", rows[0][1], rows[5][1]]:
