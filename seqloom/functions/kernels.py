@@ -18,7 +18,9 @@ from collections.abc import Iterable
 import numpy as np
 
 BIG = 1e6
+FAR = 1 << 28  # beyond any sum of 0/1 costs
 BATCH_CELLS = 4 << 20
+WARP_CELLS = 1 << 16
 
 
 def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -30,11 +32,12 @@ def padded(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def batches(order: Iterable[int], sizes: np.ndarray) -> Iterable[list[int]]:
-    """Row numbers by length, cut so that a padded batch has about BATCH_CELLS cells."""
+def batches(order: Iterable[int], sizes: np.ndarray, cells: int | None = None) -> Iterable[list[int]]:
+    """Row numbers by length, cut so that a padded batch has about ``cells`` (BATCH_CELLS) cells."""
+    cells = cells or BATCH_CELLS
     batch: list[int] = []
     for i in sorted(order, key=lambda i: sizes[i]):
-        if batch and (len(batch) + 1) * sizes[i] > BATCH_CELLS:
+        if batch and (len(batch) + 1) * sizes[i] > cells:
             yield batch
             batch = []
         batch.append(i)
@@ -92,25 +95,50 @@ def dtw(query: np.ndarray, docs: list[np.ndarray], window: int | None = None) ->
 
     An empty query or document is at infinity.
     """
-    m = len(query)
+    return dtw_many([query], docs, window)[0]
+
+
+def dtw_many(queries: list[np.ndarray], docs: list[np.ndarray], window: int | None = None) -> np.ndarray:
+    """(queries, documents) of `dtw`.
+
+    Batches are small enough to stay in a core's cache, and the running costs of
+    a token are found once for each batch, whatever number of queries has it.
+    Padding stands behind a document's last cell, and no cell looks ahead.
+    """
     sizes = np.array([len(d) for d in docs], np.int64)
-    out = np.full(len(docs), np.inf)
-    if not m:
-        return out
-    for batch in batches([i for i in range(len(docs)) if sizes[i]], sizes):
+    out = np.full((len(queries), len(docs)), np.inf)
+    for batch in batches([i for i in range(len(docs)) if sizes[i]], sizes, WARP_CELLS):
         matrix, size = padded([docs[i] for i in batch])
-        width = matrix.shape[1]
-        band = np.maximum(np.maximum(m, size) if window is None else window, np.abs(m - size))
-        j = np.arange(1, width + 1)
-        prev = np.full((len(batch), width + 1), BIG)
-        prev[:, 0] = 0
-        for i, token in enumerate(query, 1):
-            cost = np.cumsum(matrix != token, axis=1).astype(np.float64)
-            before = np.concatenate([np.zeros((len(batch), 1)), cost[:, :-1]], axis=1)
-            inside = (j >= i - band[:, None]) & (j <= i + band[:, None]) & (j <= size[:, None])
-            above = np.where(inside, np.minimum(prev[:, 1:], prev[:, :-1]) - before, BIG)
-            row = np.where(inside, cost + np.minimum.accumulate(above, axis=1), BIG)
-            prev[:, 0] = BIG
-            prev[:, 1:] = np.minimum(row, BIG)
-        out[batch] = prev[np.arange(len(batch)), size] / m
+        rows, width = matrix.shape
+        costs: dict[int, np.ndarray] = {}
+        last = np.arange(rows)
+        for k, query in enumerate(queries):
+            if not len(query):
+                continue
+            band = None if window is None else np.maximum(window, np.abs(len(query) - size))
+            out[k, batch] = _warped(query, matrix, size, costs, band)[last, size] / len(query)
     return out
+
+
+def _warped(query: np.ndarray, matrix: np.ndarray, size: np.ndarray, costs: dict[int, np.ndarray], band: np.ndarray | None) -> np.ndarray:
+    """The last row of each document's table, its first cell for nothing of the document."""
+    rows, width = matrix.shape
+    prev = np.full((rows, width + 1), FAR, np.int32)
+    prev[:, 0] = 0
+    above = np.empty((rows, width), np.int32)
+    for i, token in enumerate(query.tolist(), 1):
+        if token not in costs:
+            costs[token] = np.zeros((rows, width + 1), np.int32)
+            np.cumsum(matrix != token, axis=1, out=costs[token][:, 1:])
+        cost = costs[token]
+        np.minimum(prev[:, 1:], prev[:, :-1], out=above)
+        above -= cost[:, :-1]
+        if band is not None:
+            outside = np.abs(np.arange(1, width + 1) - i) > band[:, None]
+            above[outside] = FAR
+        np.minimum.accumulate(above, axis=1, out=above)
+        np.add(above, cost[:, 1:], out=prev[:, 1:])
+        if band is not None:
+            prev[:, 1:][outside] = FAR
+        prev[:, 0] = FAR
+    return prev

@@ -101,10 +101,11 @@ def gated(pairs: DataFrame, gate: DataFrame, lookup: DataFrame, scale: float = 1
 def dtw_all(queries: DataFrame, docs: DataFrame, window: int | None = None) -> DataFrame:
     """(query_id, doc_id, dist): a stated query set against every document.
 
-    Documents are scanned once, in place; the queries go to every executor in
-    blocks of a checked size.
+    Documents are dealt evenly first, as one file may hold them all; the queries
+    go to every executor in blocks of a checked size.
     """
     spark = docs.sparkSession
+    docs = docs.select("id", "tokens").repartition(4 * spark.sparkContext.defaultParallelism)
     sized = queries.select("id", "tokens", F.ceil(F.expr("sum(8 * size(tokens) + 64) over (order by id)") / QUERY_LIMIT).alias("block"))
     blocks = [r["block"] for r in sized.select("block").distinct().collect()]
     out = None
@@ -114,8 +115,7 @@ def dtw_all(queries: DataFrame, docs: DataFrame, window: int | None = None) -> D
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 d = _arrays(b.column(1))
-                for name, q in held.value:
-                    dist = kernels.dtw(q, d, window)
+                for (name, _), dist in zip(held.value, kernels.dtw_many([q for _, q in held.value], d, window), strict=True):
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(d), queries_type), b.column(0), pa.array(dist)], names=["query_id", "doc_id", "dist"])
 
         queries_type = pa.int64() if dict(queries.dtypes)["id"] == "bigint" else pa.string()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAST = 10
+EXACT = 50
 
 
 def paired(values: DataFrame, one: str, two: str) -> DataFrame:
@@ -32,8 +33,9 @@ def signed_ranks(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def wilcoxon(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One row for each group: n, n_used, w_plus, w_minus, statistic, mean_diff, cohens_d, p_two, p_greater, effect_r.
 
-    With fewer than LEAST pairs the test's values are null.  P-values are those
-    of the normal approximation, corrected for ties, at every n.
+    With fewer than LEAST pairs the test's values are null.  P-values are exact
+    for up to EXACT pairs of which none are equal and no two differences are
+    alike; else those of the normal approximation, corrected for ties.
     """
     ranks = signed_ranks(pairs, by)
     plus, minus = (F.coalesce(F.sum(F.when(c, F.col("rank"))), F.lit(0.0)) for c in (F.col("diff") > 0, F.col("diff") < 0))
@@ -70,12 +72,25 @@ def p_values(n: int, used: float, plus: float, tied: float, mean: float) -> tupl
     var = used * (used + 1) * (2 * used + 1) / 24 - tied / 48
     if var <= 0:
         return None, None, None
-    z = (plus - mu) / math.sqrt(var)
-    two, greater = math.erfc(abs(z) / math.sqrt(2)), 0.5 * math.erfc(z / math.sqrt(2))
+    if n == used and n <= EXACT and not tied:
+        ways = rank_sums(int(n))
+        below, above = sum(ways[: int(plus) + 1]) / 2 ** int(n), sum(ways[int(plus) :]) / 2 ** int(n)
+        two, greater = min(1.0, 2 * min(below, above)), above
+    else:
+        z = (plus - mu) / math.sqrt(var)
+        two, greater = math.erfc(abs(z) / math.sqrt(2)), 0.5 * math.erfc(z / math.sqrt(2))
     effect = NormalDist().inv_cdf(1 - two / 2) * math.copysign(1, mean) / math.sqrt(n) if 0 < two < 1 and 1 - two / 2 < 1 else (0.0 if two >= 1 else math.copysign(math.inf, mean))
     return two, greater, effect
 
 
+def rank_sums(n: int) -> list[int]:
+    """In how many ways some of the ranks 1 to n add up to each sum."""
+    ways = [1] + [0] * (n * (n + 1) // 2)
+    for rank in range(1, n + 1):
+        ways = [w + (ways[s - rank] if s >= rank else 0) for s, w in enumerate(ways)]
+    return ways
+
+
 def sig_marker(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("n.s.")
 

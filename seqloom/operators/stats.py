@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Places to which logarithms of ratios are rounded before they meet a threshold.
 PLACES = 12
 REGIME = 0.15
+DENSE = 4096
 
 
 def doc_length(tokens: DataFrame) -> DataFrame:
@@ -102,6 +103,18 @@ def pmi(unigrams: DataFrame, pair_counts: DataFrame, min_count: int = 2) -> Data
     return joined.select("a", "b", "cnt", F.round(value, PLACES).alias("pmi"))
 
 
+def pmi_dense(unigrams: DataFrame, pair_counts: DataFrame) -> DataFrame:
+    """(a, b, cnt, pmi) of every two tokens of the vocabulary: 0 and minus infinity where they are never neighbours.
+
+    The table has the vocabulary's square by its definition; DENSE bounds it.
+    """
+    if unigrams.limit(DENSE + 1).count() > DENSE:
+        raise ValueError(f"a dense table needs a vocabulary of {DENSE} tokens at most")
+    cells = unigrams.select(F.col("tok").alias("a")).join(F.broadcast(unigrams.select(F.col("tok").alias("b"))))
+    seen = pmi(unigrams, pair_counts, 1)
+    return cells.join(seen, ["a", "b"], "left").select("a", "b", F.coalesce("cnt", F.lit(0)).alias("cnt"), F.coalesce("pmi", F.lit(float("-inf"))).alias("pmi"))
+
+
 def idf_gate(pairs: DataFrame, idfs: DataFrame, limit: float) -> DataFrame:
     """pairs (a, b, ...) of which neither token's idf is over the limit, with max_idf."""
     left, right = idfs.select(F.col("tok").alias("a"), F.col("idf").alias("ia")), idfs.select(F.col("tok").alias("b"), F.col("idf").alias("ib"))

@@ -79,6 +79,20 @@ sw AS MATERIALIZED (SELECT c.query_id, c.doc_id, coalesce(max(v), 0)::DOUBLE AS
 """
 
 
+_LOOKUP = """,
+lk AS MATERIALIZED (SELECT coalesce(p.a, r.b) AS x, coalesce(p.b, r.a) AS y, coalesce(r.pmi, p.pmi) AS s FROM (SELECT * FROM pm WHERE cnt >= 2) p FULL JOIN (SELECT * FROM pm WHERE cnt >= 2) r ON r.a = p.b AND r.b = p.a)"""
+#: `_sw` with the lookup's value for unequal tokens.
+_SOFT = (
+    _LOOKUP
+    + _sw("near")
+    .replace("THEN 2 ELSE -1 END", "THEN 2 ELSE coalesce(l.s, -1) END")
+    .replace("ON q.id = s.query_id WHERE", "ON q.id = s.query_id LEFT JOIN lk l ON l.x = q.tokens[s.i + 1] AND l.y = s.t WHERE")
+    .replace("0 AS i, 0 AS v FROM cells", "0 AS i, 0::DOUBLE AS v FROM cells")
+    .replace("- 2 * j)::INT FROM", "- 2 * j)::DOUBLE FROM")
+    .replace("coalesce(max(v), 0)::DOUBLE AS sw", "round(coalesce(max(v), 0), 4)::DOUBLE AS sw")
+)
+
+
 _RERANK = "SELECT query_id, doc_id, sw, row_number() OVER (PARTITION BY query_id ORDER BY sw DESC, rank) AS rank FROM sw JOIN near USING (query_id, doc_id)"
 _TOP = ", top AS (SELECT query_id, doc_id, rank FROM ful WHERE rank <= 50)"
 _AFTER = "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY sw IS NULL, sw DESC, rank) AS rank FROM ful LEFT JOIN sw USING (query_id, doc_id)"
@@ -95,6 +109,12 @@ pq{s} AS MATERIALIZED (SELECT q.id AS query_id, q.lang, r.n_rel, coalesce(x / n_
 """
 
 
+def _in_language(lang: str) -> str:
+    """Mean metrics of the unigram cosine within a language, over its queries that have a relevant document."""
+    only = PRELUDE.replace("AS tokens FROM documents)", f"AS tokens FROM documents WHERE lang = '{lang}')").replace("AS tokens FROM benchmark)", f"AS tokens FROM benchmark WHERE {_LANGS}[item_id % {len(LANGUAGES)} + 1] = '{lang}')")
+    return f"({only}{_PLAIN}{_per_query()} SELECT round(avg(ap), 6) AS map, round(avg(p1), 6) AS p1 FROM pq WHERE n_rel > 0 HAVING count(*) > 0)"
+
+
 _SUMMARY = "count(*) AS n_queries, round(avg(ap), 4) AS map, round(avg(rr), 4) AS mrr, " + ", ".join(f"round(avg({c}), 4) AS {c}" for c in ("p1", "p5", "p10", "r1", "r5", "r10"))
 _RULES = f"""SELECT a, b, pmi, (SELECT max(tok) FROM uni) + row_number() OVER (ORDER BY pmi DESC, a, b) AS new_id
   FROM (SELECT a, b, pmi FROM pm WHERE cnt >= 2 AND pmi >= {TAU} AND round(max_idf, 12) <= 3.0 ORDER BY pmi DESC, a, b LIMIT 50)"""
@@ -135,7 +155,7 @@ asg AS (SELECT utt_id, frame_no, cluster AS tok, dist FROM (SELECT f.utt_id, f.f
   QUALIFY row_number() OVER (PARTITION BY utt_id, frame_no ORDER BY dist, cluster) = 1),
 pool AS MATERIALIZED (SELECT utt_id AS id, dim, round(avg(v), 6) AS v FROM fl GROUP BY ALL)"""
 _DENSE = f"""WITH {_FRAMES}, nrm AS (SELECT id, sqrt(sum(v * v)) AS nv FROM pool GROUP BY id),
-dc AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum((q.v / (qn.nv + 1e-8)) * (d.v / (dn.nv + 1e-8))), 9) AS cos FROM pool q JOIN pool d USING (dim) JOIN nrm qn ON qn.id = q.id JOIN nrm dn ON dn.id = d.id WHERE q.id % 10 = 0 GROUP BY ALL)"""
+dc AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum((q.v / (qn.nv + 1e-8)) * (d.v / (dn.nv + 1e-8))), 9) AS cos FROM pool q JOIN pool d USING (dim) JOIN nrm qn ON qn.id = q.id JOIN nrm dn ON dn.id = d.id WHERE q.id % 20 = 0 GROUP BY ALL)"""
 
 
 _RANK = "SELECT query_id, doc_id, rank FROM ful"
@@ -173,14 +193,14 @@ ORACLES: dict[str, str] = {
     "bigram_df": _p("SELECT a, b, df FROM big"),
     "unigram_logprob": _p("SELECT tok, round(ln(cf / n_tok), 6) AS logp FROM uni, n"),
     "pmi": _p("SELECT a, b, cnt, round(pmi, 6) AS pmi FROM pm WHERE cnt >= 2"),
-    "pmi_dense": _p("SELECT a, b, cnt, round(pmi, 6) AS pmi FROM pm"),
+    "pmi_dense": _p("SELECT x.tok AS a, y.tok AS b, coalesce(cnt, 0) AS cnt, coalesce(round(pmi, 6), '-inf'::DOUBLE) AS pmi FROM uni x CROSS JOIN uni y LEFT JOIN pm ON a = x.tok AND b = y.tok"),
     "corpus_idf_gate": _p("SELECT a, b, round(max_idf, 6) AS max_idf FROM pm WHERE cnt >= 2 AND round(max_idf, 12) <= 0.35"),
     "pmi_symmetric": _p("SELECT coalesce(p.a, r.b) AS x, coalesce(p.b, r.a) AS y, round(coalesce(r.pmi, p.pmi), 6) AS s FROM (SELECT * FROM pm WHERE cnt >= 2) p FULL JOIN (SELECT * FROM pm WHERE cnt >= 2) r ON r.a = p.b AND r.b = p.a"),
     "select_pmi_ge": _p(f"SELECT a, b, cnt, round(pmi, 6) AS pmi FROM pm WHERE cnt >= 2 AND pmi >= {TAU}"),
     "select_pmi_gt": _p(f"SELECT a, b, cnt, round(pmi, 6) AS pmi FROM pm WHERE pmi > {TAU}"),
     "select_frequency": _p(f"SELECT a, b, cnt FROM big WHERE (a, b) IN ({_FREQ})"),
     "select_random": _p(f"SELECT a, b, cnt FROM big WHERE (a, b) IN ({_RAND.format(42)})"),
-    "select_all": _p("SELECT a, b, cnt FROM big"),
+    "select_all": _p("SELECT x.tok AS a, y.tok AS b, coalesce(cnt, 0) AS cnt FROM uni x CROSS JOIN uni y LEFT JOIN big ON a = x.tok AND b = y.tok"),
     "select_none": _p("SELECT a, b, cnt FROM big WHERE false"),
     "eval_query_filter": _p("SELECT id FROM qs WHERE id IN (SELECT query_id FROM rel)"),
     "lang_filter": "SELECT doc_id, lang FROM documents WHERE lang IN ('fr', 'de')",
@@ -194,7 +214,7 @@ ORACLES: dict[str, str] = {
     "query_vector_oov": _p(f"SELECT id, n, a, b, round(w, 6) AS w FROM ({_vector('q', 'plain', _PMI_GE).replace('qs s', 'ms s').replace('qt t', 'mt t').replace('qb t', 'mb t')})", _merged("qt"), ", ms AS (SELECT id, list(tok ORDER BY pos) AS tokens FROM mt GROUP BY id), mb AS (SELECT id, tokens[i] AS a, tokens[i + 1] AS b FROM (SELECT id, tokens, unnest(range(1, len(tokens))) AS i FROM ms))\n"),
     "cosine_all": _p("SELECT query_id, doc_id, round(cos, 6) AS cos, rank FROM ful", _PLAIN),
     "knn_topk": _p("SELECT query_id, doc_id, round(dist, 6) AS dist, rank FROM near", _PLAIN),
-    "knn_zero_norm": "SELECT q.u AS query_id, d.u AS doc_id, 0.0::DOUBLE AS dist, row_number() OVER (PARTITION BY q.u ORDER BY d.u) AS rank FROM (SELECT DISTINCT user_id AS u FROM events) q, (SELECT DISTINCT user_id AS u FROM events) d QUALIFY rank <= 5",
+    "knn_zero_norm": "SELECT q.u AS query_id, d.u AS doc_id, 0.0::DOUBLE AS dist, row_number() OVER (PARTITION BY q.u ORDER BY d.u) AS rank FROM (SELECT DISTINCT user_id AS u FROM events WHERE user_id % 20 = 0) q, (SELECT DISTINCT user_id AS u FROM events) d QUALIFY rank <= 5",
     "inverted_index": _p("SELECT 1 AS n, tok AS a, 0 AS b, id AS doc_id, count(*) AS cnt FROM dt GROUP BY tok, id UNION ALL SELECT 2, a, b, id, count(*) FROM db GROUP BY a, b, id"),
     "bigram_match": _p("SELECT q.id AS query_id, d.id AS doc_id, round(round(count(*) / (SELECT len(tokens) - 1 FROM qs WHERE qs.id = q.id), 9), 6) AS score FROM qb q JOIN db d USING (a, b) GROUP BY q.id, d.id"),
     "dense_cosine": _DENSE + " SELECT query_id, doc_id, round(cos, 6) AS cos FROM dc",
@@ -214,6 +234,7 @@ ORACLES: dict[str, str] = {
     "recall_at_k": _p("SELECT query_id, round(r1, 6) AS r1, round(r5, 6) AS r5, round(r10, 6) AS r10 FROM pq", _PLAIN, _per_query()),
     "mrr": _p("SELECT round(avg(rr), 6) AS mrr FROM pq WHERE n_rel > 0", _PLAIN, _per_query()),
     "metrics_all": _p(f"SELECT {_SUMMARY} FROM pq", _PLAIN, _per_query()),
+    "macro_avg": "SELECT count(*) AS n_languages, round(avg(map), 5) AS map, round(avg(p1), 5) AS p1 FROM (" + " UNION ALL ".join(f"SELECT * FROM {_in_language(x)}" for x in LANGUAGES) + ")",
     "sig_marker": "SELECT round(i / 2000.0, 6)::DOUBLE AS p, CASE WHEN i / 2000.0 < 0.001 THEN '***' WHEN i / 2000.0 < 0.01 THEN '**' WHEN i / 2000.0 < 0.05 THEN '*' ELSE 'n.s.' END AS marker FROM range(0, 201) t(i)",
     "kmeans_assign": f"WITH {_FRAMES} SELECT utt_id, frame_no, tok, dist FROM asg",
     "centroid_store": f"WITH {_FRAMES} SELECT cluster, dim, round(v, 6) AS v FROM cen",
@@ -227,6 +248,8 @@ ORACLES: dict[str, str] = {
     "sw_hard": _p("SELECT query_id, doc_id, sw FROM sw", _PLAIN, _sw("near")).replace("WITH docs", "WITH RECURSIVE docs", 1),
     "sw_norm": _p("SELECT query_id, doc_id, round(sw / len(q.tokens), 6) AS sw FROM sw JOIN qs q ON q.id = query_id", _PLAIN, _sw("near")).replace("WITH docs", "WITH RECURSIVE docs", 1),
     "rerank_hard": _p(_RERANK, _PLAIN, _sw("near")).replace("WITH docs", "WITH RECURSIVE docs", 1),
+    "sw_soft": _p("SELECT query_id, doc_id, sw FROM sw", _PLAIN, _SOFT).replace("WITH docs", "WITH RECURSIVE docs", 1),
+    "rerank_soft": _p(_RERANK, _PLAIN, _SOFT).replace("WITH docs", "WITH RECURSIVE docs", 1),
     "system_knn_sw": _p(_AFTER, _PLAIN, _sw("near")).replace("WITH docs", "WITH RECURSIVE docs", 1),
     "system_knn_sw_k512": _p(_AFTER, _SMOOTH, _TOP, _sw("top")).replace("WITH docs", "WITH RECURSIVE docs", 1),
     "system_allbigrams": _p(_AFTER, _cos(_vector("q", "smooth", "SELECT a, b FROM big", 1), _vector("d", "smooth", "SELECT a, b FROM big", 1)), _TOP, _sw("top")).replace("WITH docs", "WITH RECURSIVE docs", 1),

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Headers that name the id and the data column, in lower case.
+#: Headers that name the id and the data column, in lower case.
 ID_HEADERS = ("filename", "file", "name", "id", "stem")
 DATA_HEADERS = ("data", "tokens", "token", "sequence")
 

@@ -1,5 +1,8 @@
 """Alignment kernels against cell-by-cell recurrences."""
 
+import functools
+import heapq
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -11,25 +14,35 @@ SEQ = st.lists(st.integers(0, 4), max_size=12)
 
 
 def local(q, d, gain, gap):
-    best, h = 0.0, np.zeros((len(q) + 1, len(d) + 1))
-    for i in range(1, len(q) + 1):
-        for j in range(1, len(d) + 1):
-            h[i, j] = max(0, h[i - 1, j - 1] + gain(q[i - 1], d[j - 1]), h[i - 1, j] - gap, h[i, j - 1] - gap)
-            best = max(best, h[i, j])
-    return best
+    """The best over all places where an alignment may end, each by its last step."""
+
+    @functools.cache
+    def ending(i, j):
+        """The best alignment that ends before q[i] and d[j], an empty one too."""
+        if i == 0 or j == 0:
+            return 0
+        return max(0, ending(i - 1, j - 1) + gain(q[i - 1], d[j - 1]), ending(i - 1, j) - gap, ending(i, j - 1) - gap)
+
+    return max((ending(i, j) for i in range(len(q) + 1) for j in range(len(d) + 1)), default=0)
 
 
 def warp(q, d, window):
-    m, n = len(q), len(d)
-    if not m or not n:
+    """The cheapest walk from corner to corner of the grid of pairs, by always going on from the cheapest pair reached."""
+    if not len(q) or not len(d):
         return np.inf
-    w = max(window if window is not None else max(m, n), abs(m - n))
-    t = np.full((m + 1, n + 1), np.inf)
-    t[0, 0] = 0
-    for i in range(1, m + 1):
-        for j in range(max(1, i - w), min(n, i + w) + 1):
-            t[i, j] = (q[i - 1] != d[j - 1]) + min(t[i - 1, j], t[i, j - 1], t[i - 1, j - 1])
-    return t[m, n] / m
+    reach = max(len(q), len(d)) if window is None else max(window, abs(len(q) - len(d)))
+    queue, done = [(int(q[0] != d[0]), 0, 0)], set()
+    while queue:
+        paid, i, j = heapq.heappop(queue)
+        if (i, j) == (len(q) - 1, len(d) - 1):
+            return paid / len(q)
+        if (i, j) in done:
+            continue
+        done.add((i, j))
+        for x, y in ((i + 1, j), (i, j + 1), (i + 1, j + 1)):
+            if x < len(q) and y < len(d) and abs(x - y) <= reach:
+                heapq.heappush(queue, (paid + int(q[x] != d[y]), x, y))
+    return np.inf
 
 
 def arrays(seqs):
@@ -68,3 +81,11 @@ def test_batches_hold_all(cells, monkeypatch):
     docs = [rng.integers(0, 5, n) for n in (0, 3, 50, 7, 7, 1)]
     q = rng.integers(0, 5, 9)
     assert kernels.smith_waterman(q, docs).tolist() == [local(q, d, lambda x, y: 2 if x == y else -1, 2) for d in docs]
+
+
+def test_warping_of_many_queries():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(0, 5, n) for n in (0, 3, 50, 7, 700, 1)]
+    queries = [rng.integers(0, 5, n) for n in (4, 0, 30)]
+    got = kernels.dtw_many(queries, docs)
+    assert np.allclose(got, [[warp(q, d, None) for d in docs] for q in queries])
