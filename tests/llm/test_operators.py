@@ -506,3 +506,56 @@ def test_scores_are_those_of_plain_python(spark):
         want = 1 / (1 + np.exp(-(model.bias + sum(weights.get(n, 0) for n in names))))
         (c,) = toxicity.ts.chunks(pa.array([text]))
         assert np.isclose(model.scores(c)[0], want)
+
+
+def held(ids, parts, part):
+    return [zlib.crc32(str(i).encode()) % parts == part for i in ids]
+
+
+@pytest.mark.parametrize("name", [f"op{n}" for n in range(4, 11)] + ["pipeline"])
+def test_registered_queries_give_their_contract(spark, data, name):
+    """Each query as it is registered, on its whole table, against plain Python."""
+    import __spark_entry__
+    import hashlib
+    import tiktoken
+
+    every = __spark_entry__.queries()
+    got = every[next(q for q in every if q == name or q.startswith(f"{name}_"))](spark, data).toPandas()
+    docs = spark.read.parquet(f"{data}/documents.parquet").toPandas().set_index("doc_id")["text"]
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    if name not in ("op5", "op8", "pipeline"):
+        assert sorted(got["doc_id"]) == sorted(docs.index)
+        got = got.set_index("doc_id").loc[sorted(docs.index)]
+        docs = docs.loc[sorted(docs.index)]
+    if name == "op4":
+        sets = [shingle_set(t) for t in docs]
+        linked = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+        ids = docs.index.tolist()
+        assert got["component_id"].tolist() == [ids[c] for c in components_of(len(ids), linked)]
+        assert got["n_shingles"].tolist() == [len(s) for s in sets] and (got["kept"] == (got.index == got["component_id"])).all()
+    if name == "op5":
+        assert sorted(got["slot"]) == list(range(len(got)))
+        assert got.groupby("doc_id")["n_tokens"].sum().to_dict() == {i: n for i, t in docs.items() if (n := len(library.encode_ordinary(t or "")))}
+    if name == "op6":
+        ids = [np.array(library.encode_ordinary(t or ""), "<u4") for t in docs]
+        assert got["n_tokens"].tolist() == [len(x) for x in ids]
+        assert got["ids_sha256"].tolist() == [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
+        assert got["decoded_sha256"].tolist() == [hashlib.sha256((t or "").encode()).hexdigest() for t in docs]
+    if name == "op7":
+        assert got["held_out"].tolist() == held(docs.index, 3, 1)
+        assert got["score"].between(0, 1).all() and (got["predicted"] == (got["score"] >= 0.7)).all()
+    if name == "op8":
+        assert set(zip(got["doc_id"], got["line_no"], strict=True)) == {(i, k) for i, t in docs.items() for k, x in enumerate((t or "").split("\n")) if line_dedup.normal(x.encode())}
+        assert (got.groupby("group_id")["kept"].sum() == 1).all() and (got.groupby("group_id")["doc_id"].transform("size") == got["n_lines"]).all()
+    if name == "op9":
+        assert got["size"].tolist() == [16 + len((t or "").encode()) for t in docs] and got["text_crc32"].tolist() == [zlib.crc32((t or "").encode()) for t in docs]
+        assert set(got["law"]) == {"bytes"} and set(got["shard"]) <= set(range(40)) and got["grown_shard"].isna().all()
+        assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard")["slot"])
+    if name == "op10":
+        assert got["held_out"].tolist() == held(docs.index, 4, 2) and got["score"].between(0, 1).all()
+        assert all((p == "und") == (not t or not re.search(r"[^\W\d_]", t)) for p, t in zip(got["lang_pred"], docs, strict=True))
+    if name == "pipeline":
+        assert 0 < len(got) < len(docs) and set(got["doc_id"]) <= set(docs.index) and got["round_trip"].all()
+        for row in got.itertuples():  # what is left is lines of the document, encoded
+            left = library.decode(np.frombuffer(row.ids, "<u4").tolist()).split("\n")
+            assert set(left) <= set(docs[row.doc_id].split("\n"))
