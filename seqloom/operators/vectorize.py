@@ -36,7 +36,8 @@ def features(unigrams: DataFrame, bigrams: DataFrame | None = None, alpha: float
 def tfidf(arrays: DataFrame, vocabulary: DataFrame, with_bigrams: bool = False) -> DataFrame:
     """(id, n, a, b, w): count over length times the factor, of joint norm 1; a zero vector has no rows."""
     weighted = term_counts(arrays, with_bigrams).join(vocabulary, ["n", "a", "b"]).select("id", "n", "a", "b", (F.col("cnt") / F.col("parts") * F.col("idf")).alias("w")).filter("w <> 0")
-    norm = F.sqrt(F.expr("sum(w * w) over (partition by id)"))
+    # in a stated order, so that the last bits of the sum are the same in every plan
+    norm = F.sqrt(F.expr("sum(w * w) over (partition by id order by n, a, b rows between unbounded preceding and unbounded following)"))
     return weighted.withColumn("w", F.col("w") / norm)
 
 
