@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 U64 = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
 _RINV = pow(_R, -1, 1 << 64)
