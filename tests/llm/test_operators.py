@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqloom.llm import bpe, decontam, langid, line_dedup, links, neardup, quality, queries, sharding, token_shards, toxicity, url_filter
+from seqloom.llm import bpe, decontam, edit_join, langid, line_dedup, links, neardup, quality, queries, sharding, token_shards, toxicity, url_filter
 from test_scans import brute_hits, shingle_set
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -559,3 +559,52 @@ def test_registered_queries_give_their_contract(spark, data, name):
         for row in got.itertuples():  # what is left is lines of the document, encoded
             left = library.decode(np.frombuffer(row.ids, "<u4").tolist()).split("\n")
             assert set(left) <= set(docs[row.doc_id].split("\n"))
+
+
+def test_as_many_edits_as_are_allowed_spread_over_a_line_are_found(spark):
+    """Pairs at the threshold, whose edits leave no long run alone, and lines that no links join."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(240):
+        line = list("".join(rng.choice("abcdefgh ") for _ in range(rng.choice([14, 25, 38, 61, 120, 260]))).replace("  ", "ab").strip())
+        rows.append((i, "".join(line)))
+        most = len(line) // 10
+        for k in range(most):
+            line[(2 * k + 1) * len(line) // (2 * most)] = "z"
+        rows.append((1000 + i, "".join(line)))
+    want = brute_lines(rows)
+    got = {(r["doc_id"], r["line_no"]): r["kept"] for r in line_dedup.groups(documents(spark, [(i, t, "en") for i, t in rows])).collect()}
+    assert got == want and not any(want[i, 0] for i, _ in rows if i >= 1000)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_lines_that_share_a_piece_are_all_that_are_similar(seed, monkeypatch):
+    for name, value in {"SPREAD": 1000, "SLICE": 500, "HOT": 3}.items():
+        monkeypatch.setattr(edit_join, name, value)
+    rng = random.Random(seed)
+    letters, size = ("abcdefghijklmnop é", "ab")[seed % 2], (12, 25, 45, 90, 130, 200)[seed]
+    forms = set()
+    for _ in range(6):
+        base = [rng.choice(letters) for _ in range(size + rng.randrange(5))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randrange(len(w) // 10 + 2)):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randrange(2)] = rng.choice([[], [rng.choice(letters)]])
+            forms.add("".join(w).encode())
+    forms = sorted(forms)
+    lines, comp = edit_join.Lines(forms), np.arange(len(forms))
+    pieces, every = lines.size // (lines.size // 10 + 1), np.arange(len(forms))
+    found = set()
+    for s in np.unique(pieces).tolist():
+        for u, v in edit_join._pieces(lines, every[pieces == s], every, comp, s, False):
+            near = lines.near(u, v)
+            found |= {tuple(sorted(p)) for p in zip(u[near].tolist(), v[near].tolist(), strict=True)}
+    similar = {p for p in itertools.combinations(range(len(forms)), 2) if line_dedup.edit_similar(forms[p[0]], forms[p[1]])}
+    assert similar <= found and len(similar) > 5
+    meant = [(c, i, c2, j) for c, n in {0: 2, 1: 3, 2: 1, 5: 1}.items() for i in range(n) for c2, m in {0: 2, 1: 3, 2: 1, 5: 1}.items() for j in range(m) if (c, i) <= (c2, j) and c2 - c <= 1]
+    met = {}
+    for c, b, at, right, inside, _ in edit_join.meetings({0: 2, 1: 3, 2: 1, 5: 1}):
+        met.setdefault(at, {})[right] = (c, b, inside)
+    got = [(*m[False][:2], *m[True][:2]) for m in met.values() if True in m] + [m[False][:2] * 2 for m in met.values() if m[False][2]]
+    assert sorted(got) == sorted(meant)
