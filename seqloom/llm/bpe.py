@@ -287,18 +287,22 @@ def slices(data: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.array([data[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
-    """docs with ids: little-endian unsigned 32-bit integers.  path: a rank file, read on the driver."""
+def encode(docs: DataFrame, path: str, text: str = "text", drop: tuple[str, ...] = (), decoded: str | None = None) -> DataFrame:
+    """docs with ids: little-endian unsigned 32-bit integers.  path: a rank file, read on the driver.
+
+    ``decoded``: a column for what `decode` makes of the ids, by the same worker: one process and one copy of the tables.
+    """
     tokenizer = docs.sparkSession.sparkContext.broadcast(Tokenizer(read_ranks(path)))
 
     def make():
         def of(c: ts.Chunk) -> dict:
             ids, at = tokenizer.value.checked(c)
-            return {"ids": slices(ids.astype("<u4").view(np.uint8), at * 4)}
+            coded = {"ids": slices(ids.astype("<u4").view(np.uint8), at * 4)}
+            return coded | {decoded: slices(*tokenizer.value.decode(ids, at))} if decoded else coded
 
         return of
 
-    return with_text_columns(docs, text, "ids binary", make, drop, BATCH)
+    return with_text_columns(docs, text, "ids binary" + (f", {decoded} binary" if decoded else ""), make, drop, BATCH)
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

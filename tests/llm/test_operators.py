@@ -608,3 +608,12 @@ def test_lines_that_share_a_piece_are_all_that_are_similar(seed, monkeypatch):
         met.setdefault(at, {})[right] = (c, b, inside)
     got = [(*m[False][:2], *m[True][:2]) for m in met.values() if True in m] + [m[False][:2] * 2 for m in met.values() if m[False][2]]
     assert sorted(got) == sorted(meant)
+
+
+def test_encoding_and_decoding_in_one_pass(spark, odd):
+    """The pipeline's last stage has one Python process for a task, and what it decodes is what `decode` does."""
+    once, both = bpe.encode(odd, RANKS, decoded="decoded"), bpe.decode(bpe.encode(odd, RANKS), RANKS)
+    rows = lambda x: sorted(repr((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"]))) for r in x.collect())
+    assert rows(once) == rows(both) and len(rows(once)) == odd.count()
+    plan = corpus_pipeline.tokens(spark, documents(spark, [(1, "a b", "en")]), "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
