@@ -31,7 +31,6 @@ looked at, and not returned.  An empty table gives no shards.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +41,7 @@ from pyspark.sql import functions as F
 
 from .bpe import read_ranks
 from .store import drop, fresh, keep
+from .store import files as _files
 
 LENGTH = 256
 SHARD_BYTES = 32 << 20
@@ -73,13 +73,6 @@ def feistel(number: np.ndarray, count: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _files(at: str) -> tuple[pa.fs.FileSystem, str]:
-    """The file system and path of a folder's address."""
-    if urlparse(at).scheme in ("", "file"):
-        return pa.fs.LocalFileSystem(), urlparse(at).path
-    return pa.fs.FileSystem.from_uri(at)
-
-
 def token_ids(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, text_hash, n_tokens, ids) of docs (doc_id, text) that have tokens; path: a rank file, read on the driver."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(path))

@@ -617,3 +617,23 @@ def test_encoding_and_decoding_in_one_pass(spark, odd):
     assert rows(once) == rows(both) and len(rows(once)) == odd.count()
     plan = corpus_pipeline.tokens(spark, documents(spark, [(1, "a b", "en")]), "")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_blocks_of_lines_are_written_once_and_read_where_they_meet(spark, monkeypatch):
+    """However many blocks a block meets, none of its lines go through a shuffle, and no link is lost."""
+    plans = {}
+
+    def watched(df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return line_dedup.keep(df, name, **options)
+
+    monkeypatch.setattr(edit_join, "BLOCK_CHARS", 1500)
+    monkeypatch.setattr(edit_join, "keep", watched)
+    rng = random.Random(41)
+    forms = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice([30, 60, 64, 70]))) for _ in range(150)]
+    forms += [f[:k] + "z" + f[k + 1 :] for f in forms for k in [rng.randrange(len(f))]]
+    rows = spark.createDataFrame([(i, i, bytearray(f.encode())) for i, f in enumerate(forms)], "id long, comp long, form binary").repartition(12)
+    got = [(r["a"], r["b"]) for r in edit_join.linked(rows, line_dedup.all_similar).collect()]
+    similar = [(a, b) for a, b in itertools.combinations(range(len(forms)), 2) if line_dedup.edit_similar(forms[a].encode(), forms[b].encode())]
+    assert components_of(len(forms), got) == components_of(len(forms), similar) and len(similar) >= 150
+    assert "FlatMapGroupsInArrow" in plans["links"] and "data#" not in plans["links"]
