@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -637,3 +638,15 @@ def test_blocks_of_lines_are_written_once_and_read_where_they_meet(spark, monkey
     similar = [(a, b) for a, b in itertools.combinations(range(len(forms)), 2) if line_dedup.edit_similar(forms[a].encode(), forms[b].encode())]
     assert components_of(len(forms), got) == components_of(len(forms), similar) and len(similar) >= 150
     assert "FlatMapGroupsInArrow" in plans["links"] and "data#" not in plans["links"]
+
+
+def test_lines_whose_pieces_meet_often_take_little_memory():
+    rng = random.Random(51)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(40)]
+    forms = [" ".join(rng.choice(words) for _ in range(60)).encode() for _ in range(1500)]
+    ids = np.arange(len(forms))
+    tracemalloc.start()
+    edit_join.join(ids, ids.copy(), forms, np.zeros(len(ids), bool), True, False, lambda pairs: np.zeros(len(pairs), bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6, peak
