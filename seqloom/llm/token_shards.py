@@ -10,9 +10,11 @@ permutes the least power of four that holds them all, and walks the cycle until
 it falls below their count, so every sequence gets a slot of its own and every
 slot a sequence, from its number alone.
 
-Sequences are dealt by ranges of slots, one shard to a task.  They travel as
-compressed blocks of the records that one batch has for a shard, and the task
-puts each record where it belongs: the record of slot s stands at byte
+Sequences are dealt by ranges of slots, one shard to a task.  The records that
+one batch has for a shard are a compressed block.  Blocks are written to the
+shared folder, a file for each attempt of a task; then the ids go, before any
+shard is written, and only the places of the blocks travel.  A shard's task
+reads its blocks and puts each record where it belongs: the record of slot s stands at byte
 ``(s - first) * stride`` of its shard, so nothing is sorted and a task holds one
 shard.  A reader that knows where it stopped goes on from there.  A shard is
 written under a name of the attempt and then renamed, so a task that is run
@@ -186,16 +188,24 @@ def materialise(docs: DataFrame, path: str, into: str | None = None, length: int
             yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=ZSTD).compress
-        for number, heads, records in sequences(batches):
-            slot = feistel(number, count, key)
-            order = np.argsort(slot, kind="stable")
-            shard, first = np.unique(slot[order] // per_shard, return_index=True)
-            parts = [order[x:y] for x, y in zip(first.tolist(), [*first[1:].tolist(), len(slot)], strict=True)]
-            data = [squeeze((slot[p] % per_shard).astype("<u4").tobytes() + heads[p].tobytes() + records[p].tobytes()) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(data, pa.binary())], names=["shard", "block"])
+        store, top = _files(placed)
+        name, at = uuid.uuid4().hex, 0
+        with store.open_output_stream(f"{top}/{name}") as out:
+            for number, heads, records in sequences(batches):
+                slot = feistel(number, count, key)
+                order = np.argsort(slot, kind="stable")
+                shard, first = np.unique(slot[order] // per_shard, return_index=True)
+                parts = [order[x:y] for x, y in zip(first.tolist(), [*first[1:].tolist(), len(slot)], strict=True)]
+                sizes = [out.write(squeeze((slot[p] % per_shard).astype("<u4").tobytes() + heads[p].tobytes() + records[p].tobytes())) for p in parts]
+                ends = at + np.cumsum(sizes)
+                columns = [shard.astype(np.int32), [name] * len(parts), ends - sizes, np.array(sizes, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shard", "file", "begin", "size"])
+                at = int(ends[-1])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -205,6 +215,7 @@ def materialise(docs: DataFrame, path: str, into: str | None = None, length: int
 
         expand = zstandard.ZstdDecompressor().decompress
         store, top = _files(into)
+        shared, blocks_at = _files(placed)
 
         def done(shard: int, held: np.ndarray) -> pa.RecordBatch:
             name = f"{top}/_shard-{shard:06d}-{uuid.uuid4().hex}"
@@ -217,25 +228,38 @@ def materialise(docs: DataFrame, path: str, into: str | None = None, length: int
             columns = [heads["doc_id"].astype(np.int64), heads["seq_no"].astype(np.int32), heads["n_tokens"].astype(np.int32), slot, np.full(len(held), shard), np.arange(len(held)) * stride, crc]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "seq_no", "n_tokens", "slot", "shard", "at", "crc32"])
 
-        shard, held = -1, None
+        shard, held, name, blocks_of = -1, None, None, None
         for b in batches:
-            for number, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for number, file, begin, size in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if file != name:
+                    if blocks_of is not None:
+                        blocks_of.close()
+                    name, blocks_of = file, shared.open_input_file(f"{blocks_at}/{file}")
                 if number != shard:
                     if held is not None:
                         yield done(shard, held)
                     shard, held = number, np.zeros((min(per_shard, count - number * per_shard), stride), np.uint8)
-                raw = np.frombuffer(expand(block.as_buffer()), np.uint8)
+                raw = np.frombuffer(expand(blocks_of.read_at(size, begin)), np.uint8)
                 n = len(raw) // (4 + stride)
                 at = raw[: 4 * n].view("<u4")
                 held[at, : HEAD.itemsize] = raw[4 * n : (4 + HEAD.itemsize) * n].reshape(n, -1)
                 held[at, HEAD.itemsize :] = raw[(4 + HEAD.itemsize) * n :].reshape(n, -1)
         if held is not None:
             yield done(shard, held)
-
-    packed = stored.select("doc_id", "ids", file_name().alias("file"), F.col("_metadata.row_index").alias("place")).mapInArrow(blocks, "shard int, block binary")
-    dealt = packed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
-    index = keep(dealt.mapInArrow(write, "doc_id long, seq_no int, n_tokens int, slot long, shard long, at long, crc32 long"), "shard-index")
+        if blocks_of is not None:
+            blocks_of.close()
+
+    placed = fresh(spark, "blocks")
+    shared_files, blocks_folder = _files(placed)
+    shared_files.create_dir(blocks_folder)
+    packed = stored.select("doc_id", "ids", file_name().alias("file"), F.col("_metadata.row_index").alias("place")).mapInArrow(blocks, "shard int, file string, begin long, size long")
+    packed = keep(packed, "places")
     drop(stored)
+    shared_files.delete_dir(_files(numbers)[1])
+    dealt = packed.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "file", "begin")
+    index = keep(dealt.mapInArrow(write, "doc_id long, seq_no int, n_tokens int, slot long, shard long, at long, crc32 long"), "shard-index")
+    drop(packed)
+    shared_files.delete_dir(blocks_folder)
     for left in files.get_file_info(pa.fs.FileSelector(folder)):
         if left.base_name.startswith("_shard-"):
             files.delete_file(left.path)

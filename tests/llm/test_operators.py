@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqloom.llm import bpe, decontam, edit_join, langid, line_dedup, links, neardup, quality, queries, sharding, token_shards, toxicity, url_filter
+from seqloom.llm import bpe, decontam, edit_join, langid, line_dedup, links, neardup, quality, queries, sharding, store, token_shards, toxicity, url_filter
 from test_scans import brute_hits, shingle_set
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -650,3 +650,24 @@ def test_lines_whose_pieces_meet_often_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 150e6, peak
+
+
+def test_token_ids_are_gone_before_shards_are_written(spark, tmp_path, monkeypatch):
+    """The disk holds the ids and their blocks, then the blocks and the shards, never all three."""
+    there = {}
+
+    def watched(df, name, **options):
+        there[name] = sorted(p.name.split("-")[0] for p in tmp_path.iterdir() if p.is_dir())
+        out = store.keep(df, name, **options)
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    plans = {}
+    monkeypatch.setattr(token_shards, "keep", watched)
+    monkeypatch.setattr(store, "folder", lambda spark: f"file://{tmp_path}")
+    docs = spark.createDataFrame([(i, f"document {i} " * (i % 9 * 40)) for i in range(100)], "doc_id long, text string")
+    index = token_shards.materialise(docs, RANKS, length=16, shard_bytes=3000)
+    assert index.count() == index.select("slot").distinct().count() > 300
+    assert "token" in there["places"] and there["shard-index"] == ["blocks", "places", "token"] and "block#" not in plans["shard-index"]
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"shard", "token"}
+    assert [p.name[:12] for p in tmp_path.iterdir() if p.name.startswith("token")] == ["token-shards"]
