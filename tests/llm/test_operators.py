@@ -652,6 +652,34 @@ def test_lines_whose_pieces_meet_often_take_little_memory():
     assert peak < 150e6, peak
 
 
+def test_lines_of_common_syllables_seldom_meet(monkeypatch):
+    """Lines that share syllables and little else are no candidates, so that large blocks can meet; what is similar is found."""
+    met, near = [], edit_join.Lines.near
+    monkeypatch.setattr(edit_join.Lines, "near", lambda self, x, y: met.append(len(x)) or near(self, x, y))
+    rng = random.Random(61)
+    syllables = ["er", "th", "an", "in", "tion", "on", "the ", "of ", "sh", "ea", "ing ", "wh", "re", "ti", "ly ", "ou", "ble", "ed ", "st", "ha"]
+    forms = ["".join(rng.choice(syllables) for _ in range(160)).strip()[:380].strip() for _ in range(1200)]
+    forms += [f[:200] + "zz" + f[203:] for f in forms[::100]]
+    ids = np.arange(len(forms))
+    got = edit_join.join(ids, ids.copy(), [f.encode() for f in forms], np.zeros(len(ids), bool), True, False, line_dedup.all_similar)
+    assert sorted(got) == [(100 * k, 1200 + k) for k in range(12)]
+    assert sum(met) < 3000, sum(met)
+
+
+def test_one_edit_of_a_part():
+    """What one edit makes is never passed over, from the begin and from the end, whatever stands around it."""
+    rng = random.Random(71)
+    for n in range(3, 8):
+        for _ in range(60):
+            y = [rng.choice("ab") for _ in range(n)]
+            x = list(y)
+            at, kind = rng.randrange(n + 1), rng.randrange(4)
+            x[at : at + (kind < 2)] = [] if kind == 0 else [rng.choice("abc")] if kind < 3 else []
+            lines = edit_join.Lines([b"abbabaababba" + "".join(z).encode() + rng.choice([b"abaabbabab", b"bbabaabaab"]) for z in (x, y)])
+            u, v = (np.array([lines.at[k] + 12]) for k in (0, 1))
+            assert lines.one_edit(u, v, n, False)[0] and lines.one_edit(u + len(x), v + n, n, True)[0]
+
+
 def test_token_ids_are_gone_before_shards_are_written(spark, tmp_path, monkeypatch):
     """The disk holds the ids and their blocks, then the blocks and the shards, never all three."""
     there = {}
