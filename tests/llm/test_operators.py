@@ -176,6 +176,25 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
 
 
+@pytest.mark.parametrize("few", [1 << 19, 0])
+def test_groups_of_few_links_take_few_jobs(spark, few, monkeypatch):
+    """In one task or step by step, groups are those of brute force; of few links they take few jobs, however long their paths."""
+    monkeypatch.setattr(links, "FEW_LINKS", few, raising=False)
+    rng = random.Random(17)
+    ids = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(400)]
+    pairs = [(i, i + 1) for i in range(150)] + [(rng.randrange(150, 400), rng.randrange(150, 400)) for _ in range(120)]
+    edges = [rng.choice([(ids[i], ids[j]), (ids[j], ids[i])]) for i, j in pairs + pairs[:40]]
+    order = sorted(ids)
+    comp = components_of(len(order), [(order.index(a), order.index(b)) for a, b in edges])
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    spark.sparkContext.setJobGroup(f"components-{few}", "")
+    got = [tuple(r) for r in links.components(spark.createDataFrame(edges, "a long, b long")).select("id", "comp").collect()]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(got) == [(i, order[c]) for i, c in zip(order, comp, strict=True) if i in linked]
+    assert not few or len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components-{few}")) <= 8
+    assert links.components(spark.createDataFrame([(3, 3)], "a long, b long")).count() == 0
+
+
 def test_token_shards(spark, odd, tmp_path):
     docs = odd.select("doc_id", "text").union(spark.createDataFrame([(100 + i, f"document {i} " * (i % 9 * 40)) for i in range(200)], "doc_id long, text string"))
     into = f"file://{tmp_path}/shards"
